@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pinned
 from .columns import finite
 from .ranking import bucket_count, cut_points, fits_one_task, locate
 
@@ -44,6 +45,8 @@ def exact_quantiles(
         .groupBy(*keys, "metric", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # Read three times from here on.
+    counts = pinned(counts)
     cuts = counts.agg(
         F.struct(*[cut_points(F.when(F.col("metric") == c, F.col("value")), n).alias(f"c{i}")
                    for i, c in enumerate(names)]).alias("s")

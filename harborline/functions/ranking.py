@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import pinned
+
 MIN_BUCKETS = 32
 SINGLE_TASK_BYTES = 32 * 1024 * 1024
 MAX_BUCKETS = 10_000
@@ -173,6 +175,8 @@ def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int | None = N
             .withColumn("rows", F.sum("n").over(whole))
             .select("metric", "value", (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("mean_rank"), "rows")
         )
+    # Read three times from here on.
+    counts = pinned(counts)
     n = buckets or bucket_count(df)
     cuts = counts.agg(
         F.struct(*[cut_points(F.when(F.col("metric") == c, F.col("value")), n).alias(f"c{i}") for i, c in

@@ -49,7 +49,7 @@ def with_on_time(df: DataFrame, by: str = "dates") -> DataFrame:
 
 def derive_order_columns(df: DataFrame) -> DataFrame:
     """All derived order columns the analyses use, in one projection."""
-    return with_on_time(with_fractional_days(with_order_month(df))).withColumn(
+    return with_on_time(with_fractional_days(with_order_month(df)), "durations").withColumn(
         "delivery_days", whole_days_between(DELIVERED, PURCHASE)
     )
 
