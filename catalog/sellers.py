@@ -17,8 +17,8 @@ def tiers(t):
     return S.tier_sellers(sellers(t))
 
 
-def rounded(df, *plain):
-    return df.select(*[R(c) if kind == "double" and c not in plain else F.col(c) for c, kind in df.dtypes])
+def rounded(df, places=4):
+    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 SELLER_COLUMNS = """order_count, round(avg_processing_time, 4) AS avg_processing_time,

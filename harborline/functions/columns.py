@@ -61,3 +61,8 @@ def one_row(df: DataFrame, *columns: Column) -> Column:
 
 def with_scalar(df: DataFrame, name: str, source: DataFrame, *columns: Column) -> DataFrame:
     return df.withColumn(name, one_row(source, *columns))
+
+
+def bind_value(value: Column, body) -> Column:
+    """Evaluate `value` once per row and hand it to `body` as a variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import pinned
+from .columns import bind_value
 
 MIN_BUCKETS = 32
 SINGLE_TASK_BYTES = 32 * 1024 * 1024
@@ -39,11 +40,6 @@ def fits_one_task(df: DataFrame) -> bool:
     return int(str(estimate)) <= SINGLE_TASK_BYTES
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate `value` once per row and hand it to `body` as a variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def cut_points(value: Column, buckets: int) -> Column:
     """Aggregate: sorted distinct cut values of a column, from a mergeable sketch of bounded size.
 
@@ -53,7 +49,7 @@ def cut_points(value: Column, buckets: int) -> Column:
     shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     sketch = F.percentile_approx(value, shares, F.lit(10 * buckets))
     cuts = F.array_sort(F.array_distinct(F.coalesce(sketch, F.array())))
-    return bind(cuts, lambda c: F.struct(
+    return bind_value(cuts, lambda c: F.struct(
         c.alias("fine"),
         F.filter(c, lambda _, i: i % stride == 0).alias("coarse"),
         F.lit(stride).alias("stride"),
@@ -67,9 +63,9 @@ def locate(value: Column, cuts: Column) -> Column:
     roots of the number of cuts.
     """
     skipped = F.greatest(F.size(F.filter(cuts["coarse"], lambda c: c < value)) - 1, F.lit(0)) * cuts["stride"]
-    below = bind(skipped, lambda s: s + F.size(F.filter(F.slice(cuts["fine"], s + 1, cuts["stride"]),
+    below = bind_value(skipped, lambda s: s + F.size(F.filter(F.slice(cuts["fine"], s + 1, cuts["stride"]),
                                                        lambda c: c < value)))
-    code = bind(below, lambda b: 2 * b + F.coalesce(F.get(cuts["fine"], b) == value, F.lit(False)).cast("int"))
+    code = bind_value(below, lambda b: 2 * b + F.coalesce(F.get(cuts["fine"], b) == value, F.lit(False)).cast("int"))
     return F.when(value.isNull(), F.lit(-1)).otherwise(code)
 
 
@@ -141,7 +137,7 @@ def with_row_number(
         F.col("__b").alias("__ob"),
         (F.sum("__n").over(over_buckets) - F.col("__n")).alias("__before"),
         F.sum("__n").over(over_buckets.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(
-            "__total"
+            "__group_rows"
         ),
     )
     same = F.col("__b") == F.col("__ob")
@@ -150,8 +146,8 @@ def with_row_number(
     inside = Window.partitionBy(*keys, "__b").orderBy(*_ordering(order_by))
     out = marked.join(offsets, same).withColumn(name, F.col("__before") + F.row_number().over(inside))
     if total:
-        out = out.withColumn(total, F.col("__total"))
-    return out.drop("__b", "__ob", "__before", "__total", *[f"__k{i}" for i in range(len(keys))])
+        out = out.withColumn(total, F.col("__group_rows"))
+    return out.drop("__b", "__ob", "__before", "__group_rows", *[f"__k{i}" for i in range(len(keys))])
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
