@@ -129,9 +129,9 @@ def _(t):
 
 
 add_view("timed_items", """
-    SELECT i.*, o.order_purchase_timestamp AS at FROM sc_items i JOIN sc_orders o ON i.order_id = o.order_id""")
+    SELECT i.*, o.order_purchase_timestamp AS bought FROM sc_items i JOIN sc_orders o ON i.order_id = o.order_id""")
 ORDER = ["order_purchase_timestamp", "order_id", "order_item_id", "seller_id", "price"]
-_SEQ = "PARTITION BY product_id ORDER BY at, order_id, order_item_id, seller_id, price"
+_SEQ = "PARTITION BY product_id ORDER BY bought, order_id, order_item_id, seller_id, price"
 add_view("rolling", f"""
     SELECT *, avg(price) OVER (PARTITION BY product_id) AS gm, stddev_samp(price) OVER (PARTITION BY product_id) AS gs,
            CASE WHEN count(*) OVER w = 5 THEN avg(price) OVER w END AS rm,
@@ -145,11 +145,12 @@ def timed_items(t):
 
 
 @query("e07_rolling_statistics", """
-    SELECT order_id, order_item_id, product_id, round(price, 4) AS price, round(coalesce(rm, gm), 4) AS rolling_mean,
-           round(coalesce(nullif(rs, 0.0E0), gs), 4) AS rolling_std FROM rolling""")
+    SELECT order_id, order_item_id, product_id, round(price, 4) AS price, round(coalesce(rm, gm), 6) AS rolling_mean,
+           round(coalesce(nullif(rs, 0.0E0), gs), 6) AS rolling_std FROM rolling""")
 def _(t):
     out = A.rolling_statistics(timed_items(t), "price", ["product_id"], ORDER)
-    return out.select("order_id", "order_item_id", "product_id", R("price"), R("rolling_mean"), R("rolling_std"))
+    return out.select("order_id", "order_item_id", "product_id", R("price"), F.round("rolling_mean", 6).alias("rolling_mean"),
+                      F.round("rolling_std", 6).alias("rolling_std"))
 
 
 def _repair(mean: str, std: str) -> str:

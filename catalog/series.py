@@ -266,3 +266,9 @@ def _(t):
     back = decode_arrays(encode_arrays(nested))
     total = F.aggregate("forecast_values", F.lit(0.0), lambda a, x: a + x)
     return encode_arrays(back.withColumn("total", total))
+
+
+def category_demand(t):
+    """Monthly demand per category without the unfinished last month."""
+    full = lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
+    return D.monthly_demand(full)

@@ -7,14 +7,19 @@ result of an aggregation, so a series is never longer than the calendar it cover
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind_value
 
+# The regression helpers travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_LAG = 36
 PLOT_LAGS = 24
 DEFAULT_PERIOD = 12
