@@ -144,13 +144,23 @@ def timed_items(t):
     return t.items.join(t.orders.select("order_id", "order_purchase_timestamp"), "order_id")
 
 
-@query("e07_rolling_statistics", """
-    SELECT order_id, order_item_id, product_id, round(price, 4) AS price, round(coalesce(rm, gm), 6) AS rolling_mean,
-           round(coalesce(nullif(rs, 0.0E0), gs), 6) AS rolling_std FROM rolling""")
+# Whole cents, whose sums are exact in any order, so that means of equal rows agree to the last bit.
+add_view("cents", """
+    SELECT order_id, order_item_id, product_id, bought, seller_id, price, round(price * 100) AS cents FROM timed_items""")
+
+
+@query("e07_rolling_statistics", f"""
+    SELECT order_id, order_item_id, product_id, cents,
+           round(CASE WHEN count(*) OVER w = 5 THEN avg(cents) OVER w ELSE avg(cents) OVER (PARTITION BY product_id) END, 3)
+               AS rolling_mean,
+           round(coalesce(nullif(CASE WHEN count(*) OVER w = 5 THEN stddev_samp(cents) OVER w END, 0.0E0),
+                          stddev_samp(cents) OVER (PARTITION BY product_id)), 3) AS rolling_std
+    FROM cents WINDOW w AS ({_SEQ} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def _(t):
-    out = A.rolling_statistics(timed_items(t), "price", ["product_id"], ORDER)
-    return out.select("order_id", "order_item_id", "product_id", R("price"), F.round("rolling_mean", 6).alias("rolling_mean"),
-                      F.round("rolling_std", 6).alias("rolling_std"))
+    raw = timed_items(t).withColumn("cents", F.round(F.col("price") * 100))
+    out = A.rolling_statistics(raw, "cents", ["product_id"], ORDER)
+    return out.select("order_id", "order_item_id", "product_id", "cents", F.round("rolling_mean", 3).alias("rolling_mean"),
+                      F.round("rolling_std", 3).alias("rolling_std"))
 
 
 def _repair(mean: str, std: str) -> str:

@@ -19,7 +19,7 @@ from ..session import pinned
 from .forecast import (
     bound_forecasts, growth_rates, interval_deviation, moving_average, series_profile, trend_fallback, with_intervals,
 )
-from .series import detect_seasonality, fill_months, repair_outliers
+from .series import fill_months, packed_series, repair_outliers, seasonality_of
 
 # The fitting functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -152,33 +152,21 @@ def _final_udf(periods: int):
     return final
 
 
-def packed_series(series: DataFrame) -> DataFrame:
-    """One row per series: values in month order, length, last month."""
-    points = F.array_sort(F.collect_list(F.struct("month", "y")))
-    packed = series.groupBy("series").agg(points.alias("p"), F.max("month").alias("last_month"))
-    return packed.select("series", "last_month", F.transform("p", lambda x: x["y"]).alias("y"), F.size("p").alias("n"))
-
-
 def candidate_grid(
     packed: DataFrame, seasonality: DataFrame, max_p: int = MAX_P, max_d: int = MAX_D, max_q: int = MAX_Q
 ) -> DataFrame:
     """Every series with its candidate orders: p, d, q without p = q = 0, and eight seasonal variants of each where a
     season is clear and covered twice. Series under six months get none."""
-    base = [(p, d, q) for p in range(max_p + 1) for d in range(max_d + 1) for q in range(max_q + 1) if p or q]
-
-    def orders(seasonal: bool):
-        extra = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)] if seasonal else [(0, 0, 0)]
-        period = F.col("period") if seasonal else F.lit(0)
-        return F.array(*[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(ORDER_FIELDS, (*o, *e))], period.cast("int").alias("s"))
-            for o in base for e in extra
-        ])
-
-    joined = packed.join(seasonality, "series", "left")
+    joined = packed.join(seasonality, "series", "left").where(F.col("n") >= 6)
     clear = F.col("is_seasonal") & (F.col("confidence") > 0.5) & (F.col("n") >= 2 * F.col("period"))
-    chosen = F.when(F.coalesce(clear, F.lit(False)), orders(True)).otherwise(orders(False))
-    return joined.where(F.col("n") >= 6).select("series", "y", "n", F.explode(chosen).alias("o")).select(
-        "series", "y", "n", "o")
+    grid = joined.withColumn("__clear", F.coalesce(clear, F.lit(False)))
+    for name, most in (("p", max_p), ("d", max_d), ("q", max_q)):
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(most))))
+    grid = grid.where((F.col("p") > 0) | (F.col("q") > 0))
+    for name in ("sp", "sd", "sq"):
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("__clear").cast("int"))))
+    grid = grid.withColumn("s", F.when(F.col("__clear"), F.col("period").cast("int")).otherwise(0))
+    return grid.select("series", "y", "n", F.struct(*ORDER_FIELDS).alias("o"))
 
 
 def search_orders(
@@ -189,8 +177,9 @@ def search_orders(
     Output: series, order (struct), rmse, aic, arima_params. Candidates are spread over all tasks, however few series
     there are.
     """
-    packed = pinned(packed_series(series))
-    grid = candidate_grid(packed, detect_seasonality(series), max_p, max_d, max_q).repartition("series", "o")
+    fixed = pinned(series)
+    packed = packed_series(fixed)
+    grid = candidate_grid(packed, seasonality_of(fixed), max_p, max_d, max_q).repartition("series", "o")
     scored = grid.withColumn("score", _score_udf()("y", "o")).select("series", "o", "score.rmse", "score.aic")
     usable = scored.where(F.col("rmse").isNotNull() | F.col("aic").isNotNull())
     rank = F.struct(F.col("rmse").isNull(), F.coalesce("rmse", F.lit(0.0)), F.coalesce("aic", F.lit(0.0)), F.col("o"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind_value
+from ..session import pinned
 
 # The regression helpers travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -109,20 +110,31 @@ def repair_outliers(df: DataFrame) -> DataFrame:
     return out.select("series", "month", value.alias("y"), F.coalesce(bad, F.lit(False)).alias("repaired"))
 
 
-def autocorrelations(df: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
-    """Pearson correlation of a series with itself shifted, for lags below both `max_lag`+1 and half its length.
+def packed_series(series: DataFrame) -> DataFrame:
+    """One row per series: values in month order, length, last month."""
+    points = F.array_sort(F.collect_list(F.struct("month", "y")))
+    packed = series.groupBy("series").agg(points.alias("p"), F.max("month").alias("last_month"))
+    return packed.select("series", "last_month", F.transform("p", lambda x: x["y"]).alias("y"), F.size("p").alias("n"))
+
+
+def _lag_pairs(packed: DataFrame, first: int, max_lag: int) -> DataFrame:
+    """Values (a, b) a lag apart, for lags up to `max_lag` and below half the length.
 
-    All shifts come from one window pass, so a series is neither joined to itself nor multiplied by its lags.
+    The pairs of a series are unrolled next to it and summed up where they are, so no values are shuffled or joined.
     """
-    shifted = df.withColumns({f"__l{k}": F.lead("y", k).over(along()) for k in range(1, max_lag + 1)})
-    wide = shifted.groupBy("series").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.corr(F.when(F.col(f"__l{k}").isNotNull(), F.col("y")), F.col(f"__l{k}")).alias(f"c{k}")
-          for k in range(1, max_lag + 1)],
-    )
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("acf")) for k in range(1, max_lag + 1)])
-    long = wide.select("series", "n", F.inline(rows))
-    return long.where(F.col("lag") <= F.least(F.lit(max_lag), F.floor(F.col("n") / 2) - 1))
+    top = F.least(F.lit(max_lag), F.floor(F.col("n") / 2).cast("int") - 1)
+    lagged = packed.where(F.col("n") >= 2 * (first + 1)).withColumn("lag", F.explode(F.sequence(F.lit(first), top)))
+    a = F.slice("y", 1, F.col("n") - F.col("lag"))
+    b = F.slice("y", F.col("lag") + 1, F.col("n") - F.col("lag"))
+    return lagged.select("series", "n", "lag", F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("x")).select(
+        "series", "n", "lag", "x.a", "x.b")
+
+
+def autocorrelations(df: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """Pearson correlation of a series with itself shifted, for lags below both `max_lag`+1 and half its length."""
+    pairs = _lag_pairs(packed_series(df), 1, max_lag)
+    out = pairs.groupBy("series", "n", "lag").agg(F.corr("a", "b").alias("acf"))
+    return out.withColumn("n", F.col("n").cast("long"))
 
 
 def periodogram(df: DataFrame) -> DataFrame:
@@ -155,8 +167,14 @@ def detect_seasonality(df: DataFrame, default_period: int = DEFAULT_PERIOD) -> D
     """Per series: is_seasonal, period, confidence.
 
     Peaks of the autocorrelation (weight 0.6) and of the spectrum (weight 0.4, at the period its frequency stands for)
-    are added per period; the strongest period is snapped to a usual one. Under 24 months nothing is detected.
+    are added per period; the strongest period is snapped to a usual one. Under 24 months nothing is detected. The
+    series frame is written down first, because three branches read it.
     """
+    return seasonality_of(pinned(df), default_period)
+
+
+def seasonality_of(df: DataFrame, default_period: int = DEFAULT_PERIOD) -> DataFrame:
+    """`detect_seasonality` over a frame that is cheap to read again."""
     by_lag = _peaks(autocorrelations(df), "lag", "acf", 0.3).select(
         "series", F.col("lag").cast("int").alias("period"), (F.col("acf") * 0.6).alias("evidence"))
     by_wave = _peaks(periodogram(df), "k", "power", 0.05).select(
@@ -343,18 +361,10 @@ def stationary_part(df: DataFrame) -> DataFrame:
 
 def plot_autocorrelations(df: DataFrame, max_lag: int = PLOT_LAGS) -> DataFrame:
     """Autocorrelation about the whole series' mean and variance, lags 0 to half the length less 1 or `max_lag`."""
-    centred = df.withColumn("__c", F.col("y") - F.avg("y").over(whole()))
-    shifted = centred.withColumns({f"__l{k}": F.lead("__c", k).over(along()) for k in range(1, max_lag + 1)})
-    wide = shifted.groupBy("series").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("__c") * F.col("__c")).alias("c0"),
-        *[F.sum(F.col("__c") * F.col(f"__l{k}")).alias(f"c{k}") for k in range(1, max_lag + 1)],
-    )
-    rows = F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"c{k}"), F.col("c0")).alias("acf"))
-        for k in range(max_lag + 1)
-    ])
-    long = wide.select("series", "n", F.inline(rows))
-    return long.where(F.col("lag") <= F.least(F.lit(max_lag), F.floor(F.col("n") / 2) - 1))
+    pairs = _lag_pairs(packed_series(df.withColumn("y", F.col("y") - F.avg("y").over(whole()))), 0, max_lag)
+    sums = pairs.groupBy("series", "n", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("__c"))
+    variance = F.max(F.when(F.col("lag") == 0, F.col("__c"))).over(whole())
+    return sums.select("series", F.col("n").cast("long").alias("n"), "lag", F.try_divide("__c", variance).alias("acf"))
 
 
 def partial_autocorrelations(acf: DataFrame) -> DataFrame:
