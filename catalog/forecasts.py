@@ -439,24 +439,24 @@ add_view("thin_report", """
          a AS (SELECT r.category, h.m, r.forecast_demand AS f, r.growth_rate AS g, cost,
                       greatest(1.645E0 * h.m * 0.3E0 * sqrt(7.0E0 / 30), h.m * 0.3E0) AS safety
                FROM thin_report r JOIN h ON r.category = h.c JOIN p ON r.category = p.c)
-    SELECT category AS product_category, category, round(m, 4) AS avg_monthly_demand, round(safety, 4) AS safety_stock,
-           round(m * 7.0E0 / 30 + safety, 4) AS reorder_point, round(f, 4) AS next_month_forecast,
-           round(f, 4) AS forecast_demand, round(g, 4) AS growth_rate, 7.0E0 AS lead_time_days,
-           round(365 / (m * 12 / sqrt(2 * m * 12 * 50 / (cost * 0.2E0))), 4) AS days_between_orders,
-           round(cost, 4) AS avg_item_cost FROM a""")
+    SELECT category AS product_category, category, round(m, 6) AS avg_monthly_demand, round(safety, 6) AS safety_stock,
+           round(m * 7.0E0 / 30 + safety, 6) AS reorder_point, round(f, 6) AS next_month_forecast,
+           round(f, 6) AS forecast_demand, round(g, 6) AS growth_rate, 7.0E0 AS lead_time_days,
+           round(365 / (m * 12 / sqrt(2 * m * 12 * 50 / (cost * 0.2E0))), 6) AS days_between_orders,
+           round(cost, 6) AS avg_item_cost FROM a""")
 def _(t):
     forecast = P.moving_average(P.series_profile(category_series(t)))
     thin = forecast.groupBy(F.col("series").alias("category")).agg(
         F.avg("forecast").alias("forecast_demand"), (F.max("mape") - 25).alias("growth_rate"))
-    return rounded(H.recommend_from_report(thin, lines(t)))
+    return rounded(H.recommend_from_report(thin, lines(t)), 6)
 
 
 @query("h08_backfill", """
-    SELECT category, category AS product_category, round(m, 4) AS avg_monthly_demand, round(m * 0.3E0, 4) AS safety_stock,
-           round(m + m * 0.3E0, 4) AS reorder_point FROM stock""")
+    SELECT category, category AS product_category, round(m, 6) AS avg_monthly_demand, round(m * 0.3E0, 6) AS safety_stock,
+           round(m + m * 0.3E0, 6) AS reorder_point FROM stock""")
 def _(t):
     bare = stock_inputs(t).select("category", "avg_monthly_demand")
-    return rounded(H.backfill(bare))
+    return rounded(H.backfill(bare), 6)
 
 
 @query("h09_lead_time_demand", """
