@@ -133,7 +133,9 @@ def _lag_pairs(packed: DataFrame, first: int, max_lag: int) -> DataFrame:
 def autocorrelations(df: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     """Pearson correlation of a series with itself shifted, for lags below both `max_lag`+1 and half its length."""
     pairs = _lag_pairs(packed_series(df), 1, max_lag)
-    out = pairs.groupBy("series", "n", "lag").agg(F.corr("a", "b").alias("acf"))
+    # A constant part has no correlation; the built-in correlation would divide by its zero deviation.
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    out = pairs.groupBy("series", "n", "lag").agg(F.try_divide(F.covar_pop("a", "b"), spread).alias("acf"))
     return out.withColumn("n", F.col("n").cast("long"))
 
 
