@@ -8,12 +8,12 @@ from harborline.operators import metrics as M
 from harborline.operators import orders as O
 
 from .base import query
-from .intake import R, lines
+from .intake import R, lines, order_lines, product_lines, state_lines
 from .views import add_view
 
 
 def demand(t):
-    return D.monthly_demand(lines(t))
+    return D.monthly_demand(product_lines(t))
 
 
 @query("d01_monthly_demand", """
@@ -27,7 +27,7 @@ def _(t):
     SELECT product_category_name, order_year::INT AS order_year, order_month::INT AS order_month,
            "count" AS order_count, round(total_sales, 4) AS total_sales FROM demand""")
 def _(t):
-    return D.monthly_sales(lines(t)).withColumn("total_sales", R("total_sales"))
+    return D.monthly_sales(product_lines(t)).withColumn("total_sales", R("total_sales"))
 
 
 @query("d03_state_metrics", """
@@ -35,7 +35,7 @@ def _(t):
            round(avg_delivery_days, 4) AS avg_delivery_days, round(total_sales, 4) AS total_sales,
            round(on_time_delivery_rate, 4) AS on_time_delivery_rate FROM states""")
 def _(t):
-    return G.state_metrics(lines(t)).select("customer_state", "order_count", R("avg_processing_time"),
+    return G.state_metrics(state_lines(t)).select("customer_state", "order_count", R("avg_processing_time"),
                                             R("avg_delivery_days"), R("total_sales"), R("on_time_delivery_rate"))
 
 
@@ -101,14 +101,14 @@ def _(t):
 @query("t02_top_states", """
     SELECT customer_state, order_count FROM states ORDER BY order_count DESC, customer_state LIMIT 10""")
 def _(t):
-    return G.leading_states(G.state_metrics(lines(t))).select("customer_state", "order_count")
+    return G.leading_states(G.state_metrics(state_lines(t))).select("customer_state", "order_count")
 
 
 @query("t02_fastest_states", """
     SELECT customer_state, round(avg_delivery_days, 4) AS avg_delivery_days FROM states
     ORDER BY states.avg_delivery_days, customer_state LIMIT 10""")
 def _(t):
-    return G.fastest_states(G.state_metrics(lines(t))).select("customer_state", R("avg_delivery_days"))
+    return G.fastest_states(G.state_metrics(state_lines(t))).select("customer_state", R("avg_delivery_days"))
 
 
 @query("t05_busiest_categories", """
@@ -124,7 +124,7 @@ def _(t):
            round(sum(price) / count(DISTINCT order_id), 4) AS avg_order_value, 8.0E0 AS inventory_turnover,
            FALSE AS is_estimated FROM unified""")
 def _(t):
-    out = M.line_performance(lines(t))
+    out = M.line_performance(order_lines(t))
     return out.select(R("avg_processing_time"), R("avg_delivery_days"), R("on_time_delivery_rate"),
                       R("perfect_order_rate"), R("avg_order_value"), "inventory_turnover", "is_estimated")
 
@@ -208,7 +208,7 @@ def _(t):
     SELECT CASE WHEN place <= 5 THEN customer_state ELSE 'Others' END AS name, CAST(sum(order_count) AS BIGINT) AS "value",
            round(sum(order_count) * 100.0E0 / (SELECT sum(order_count) FROM r), 4) AS percentage FROM r GROUP BY 1""")
 def _(t):
-    return G.order_shares(G.state_metrics(lines(t))).withColumn("percentage", R("percentage"))
+    return G.order_shares(G.state_metrics(state_lines(t))).withColumn("percentage", R("percentage"))
 
 
 @query("d21_region_highlights", """
@@ -216,7 +216,7 @@ def _(t):
            (SELECT customer_state FROM states ORDER BY avg_delivery_days, 1 LIMIT 1) AS fastest_delivery,
            (SELECT customer_state FROM states ORDER BY total_sales DESC, 1 LIMIT 1) AS highest_sales""")
 def _(t):
-    return G.region_highlights(G.state_metrics(lines(t)))
+    return G.region_highlights(G.state_metrics(state_lines(t)))
 
 
 @query("d29_nested_series", """
@@ -260,5 +260,5 @@ def _(t):
            CASE WHEN total_sales >= 1000 THEN CAST(CAST(round(total_sales / 1000, 0) AS BIGINT) AS VARCHAR) || 'K'
                 ELSE CAST(CAST(round(total_sales, 0) AS BIGINT) AS VARCHAR) END AS label FROM demand""")
 def _(t):
-    return D.monthly_sales(lines(t)).select("product_category_name", "order_year", "order_month",
+    return D.monthly_sales(product_lines(t)).select("product_category_name", "order_year", "order_month",
                                             M.format_thousands("total_sales").alias("label"))

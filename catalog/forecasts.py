@@ -11,7 +11,7 @@ from harborline.operators import sellers as S
 from harborline.operators import series as Z
 
 from .base import query
-from .intake import R, lines
+from .intake import R, lines, order_lines, product_lines
 from .sellers import rounded, sellers, tiers
 from .series import product_series, series, text
 from .views import add_view
@@ -62,7 +62,7 @@ _MONTH = """strftime("month", '%Y-%m-%d') AS "month" """
 
 
 def category_series(t):
-    full = lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
+    full = product_lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
     return Z.as_series(D.monthly_demand(full), "product_category_name")
 
 
@@ -318,7 +318,7 @@ def _(t):
     SELECT product_category_name, order_year::INT AS "year", order_month::INT AS "month",
            strftime("date", '%Y-%m-%d') AS "date", CAST("count" AS DOUBLE) AS demand FROM demand""")
 def _(t):
-    raw = D.monthly_sales(lines(t)).select("product_category_name", "order_year", "order_month", "order_count")
+    raw = D.monthly_sales(product_lines(t)).select("product_category_name", "order_year", "order_month", "order_count")
     return Q.discover_demand(raw).select(
         "product_category_name", "year", "month", F.date_format("date", "yyyy-MM-dd").alias("date"), "demand")
 
@@ -371,7 +371,7 @@ def stock_inputs(t):
     forecast = P.moving_average(P.series_profile(category_series(t))).where("step = 1").select(
         F.col("series").alias("category"),
         (F.col("forecast") * (0.2 + 0.45 * (F.length("series") % 5))).alias("next_month_forecast"))
-    all_lines = lines(t)
+    all_lines = product_lines(t)
     return H.category_inputs(all_lines, D.monthly_demand(all_lines), forecast)
 
 
@@ -448,7 +448,7 @@ def _(t):
     forecast = P.moving_average(P.series_profile(category_series(t)))
     thin = forecast.groupBy(F.col("series").alias("category")).agg(
         F.avg("forecast").alias("forecast_demand"), (F.max("mape") - 25).alias("growth_rate"))
-    return rounded(H.recommend_from_report(thin, lines(t)), 6)
+    return rounded(H.recommend_from_report(thin, product_lines(t)), 6)
 
 
 @query("h08_backfill", """
@@ -509,7 +509,7 @@ add_view("summary_text", """
 
 
 def summary(t):
-    return M.performance_summary(lines(t), t.orders, t.products, report(t))
+    return M.performance_summary(order_lines(t), t.orders, t.products, report(t))
 
 
 @query("d11_performance_summary", """
@@ -545,7 +545,7 @@ def _(t):
            round((SELECT 100 - least(avg(mape), 100.0E0) FROM report), 4) AS forecast_accuracy,
            'on_time_delivery,perfect_order_rate,inventory_turnover' AS estimated_fields""")
 def _(t):
-    return rounded(M.kpis(D.monthly_demand(lines(t)), sellers(t), report(t)))
+    return rounded(M.kpis(D.monthly_demand(product_lines(t)), sellers(t), report(t)))
 
 
 @query("d16_growth_kpi", """

@@ -21,6 +21,21 @@ def lines(t: Tables):
     return unified_lines(O.derive_order_columns(t.orders), t.items, t.products, t.customers)
 
 
+def order_lines(t: Tables):
+    """Lines with their order only: for analyses by seller or product."""
+    return unified_lines(O.derive_order_columns(t.orders), t.items)
+
+
+def product_lines(t: Tables):
+    """Lines without the customer side: for analyses by category."""
+    return unified_lines(O.derive_order_columns(t.orders), t.items, t.products)
+
+
+def state_lines(t: Tables):
+    """Lines without the product side: for analyses by state."""
+    return unified_lines(O.derive_order_columns(t.orders), t.items, None, t.customers)
+
+
 @query("a01_table_scan", """
     SELECT CAST(order_id AS VARCHAR) AS order_id, order_item_id, CAST(product_id AS VARCHAR) AS product_id,
            CAST(seller_id AS VARCHAR) AS seller_id, price, shipping_charges FROM sc_items""")
@@ -105,7 +120,7 @@ def _(t):
     from harborline.operators.demand import monthly_sales
 
     month = F.col("order_month")
-    raw = monthly_sales(lines(t)).select(
+    raw = monthly_sales(product_lines(t)).select(
         "product_category_name", "order_year", "order_month", F.col("order_count"),
         F.when(month % 2 == 0, F.lit(None).cast("long")).otherwise(F.col("order_count")).alias("count"),
         F.when(month % 4 == 0, F.format_string("%04d-%02d-15", "order_year", "order_month"))

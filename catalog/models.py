@@ -15,7 +15,7 @@ from harborline.sources import tables as W
 
 from .base import query
 from .demand import demand
-from .intake import R, lines
+from .intake import R, order_lines, state_lines
 from .sellers import rounded, sellers, tiers
 from .series import category_demand, series, text
 from .views import add_view
@@ -134,7 +134,7 @@ def _(t):
     from harborline.operators.geography import state_metrics
 
     folder = scratch_path(t.spark, "results")
-    paths = W.write_results({"demand": demand(t), "states": state_metrics(lines(t))}, folder)
+    paths = W.write_results({"demand": demand(t), "states": state_metrics(state_lines(t))}, folder)
     months = t.spark.read.parquet(paths["demand"]).groupBy(F.col("product_category_name").alias("label")).agg(
         F.sum("count").alias("n"))
     states = t.spark.read.parquet(paths["states"]).select(F.col("customer_state").alias("label"),
@@ -176,7 +176,7 @@ def _(t):
            round(avg(processing_time), 4) AS avg_processing_time FROM unified""")
 def _(t):
     path = scratch_path(t.spark, "metrics-log")
-    U.log_metrics(M.line_performance(lines(t)), path, datetime(2024, 1, 1))
+    U.log_metrics(M.line_performance(order_lines(t)), path, datetime(2024, 1, 1))
     logged = t.spark.read.schema(
         "timestamp string, metrics struct<on_time_delivery_rate: double, avg_processing_time: double>").json(path)
     return logged.select("timestamp", F.round("metrics.on_time_delivery_rate", 4).alias("on_time_delivery_rate"),

@@ -7,6 +7,7 @@ from harborline.operators import anomalies as A
 from harborline.operators import orders as O
 from harborline.operators import products as P
 from harborline.operators.quality import imputation_report
+from harborline.session import pinned
 from harborline.sources.schemas import DIMENSIONS
 
 from .base import query
@@ -141,7 +142,8 @@ add_view("rolling", f"""
 
 
 def timed_items(t):
-    return t.items.join(t.orders.select("order_id", "order_purchase_timestamp"), "order_id")
+    """Lines with their purchase time, written down because the repair reads them several times."""
+    return pinned(t.items.join(t.orders.select("order_id", "order_purchase_timestamp"), "order_id"))
 
 
 # Whole cents, whose sums are exact in any order, so that means of equal rows agree to the last bit.

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from harborline.operators import sellers as S
 
 from .base import query
-from .intake import R, lines
+from .intake import R, order_lines
 from .views import add_view
 
 
 def sellers(t):
-    return S.seller_metrics(lines(t))
+    return S.seller_metrics(order_lines(t))
 
 
 def tiers(t):

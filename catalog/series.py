@@ -8,24 +8,24 @@ from harborline.operators import demand as D
 from harborline.operators import series as S
 
 from .base import query
-from .intake import R, lines
+from .intake import R, order_lines, product_lines
 from .views import add_view
 
 
 def series(t):
     """Demand per sub-category and month without the unfinished last month."""
-    full = lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
+    full = product_lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
     return S.as_series(D.monthly_demand(full, "product_subcategory"), "product_subcategory")
 
 
 def product_series(t):
     """Demand per product and month: sparse, with gaps inside."""
-    return S.as_series(D.monthly_demand(lines(t), "product_id"), "product_id")
+    return S.as_series(D.monthly_demand(order_lines(t), "product_id"), "product_id")
 
 
 def seller_series(t):
     """Sales per seller and month."""
-    sales = D.monthly_sales(lines(t), "seller_id").withColumn("date", F.make_date("order_year", "order_month", F.lit(1)))
+    sales = D.monthly_sales(order_lines(t), "seller_id").withColumn("date", F.make_date("order_year", "order_month", F.lit(1)))
     return S.as_series(sales, "seller_id", "total_sales")
 
 
@@ -260,7 +260,7 @@ def _(t):
 def _(t):
     from harborline.sources.runstore import decode_arrays, encode_arrays
 
-    nested = D.nested_series(D.monthly_demand(lines(t))).select(
+    nested = D.nested_series(D.monthly_demand(product_lines(t))).select(
         "product_category_name",
         F.transform("points", lambda p: p["count"].cast("double")).alias("forecast_values"))
     back = decode_arrays(encode_arrays(nested))
@@ -270,5 +270,5 @@ def _(t):
 
 def category_demand(t):
     """Monthly demand per category without the unfinished last month."""
-    full = lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
+    full = product_lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
     return D.monthly_demand(full)

@@ -16,6 +16,23 @@ from .columns import finite
 from .ranking import bucket_count, cut_points, fits_one_task, locate
 
 
+def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows per key, column and value as (keys, metric, value, n); NULL, NaN and infinite values are left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), finite(c).alias("value")) for c in columns])
+    return (
+        df.select(*keys, F.explode(pairs).alias("p"))
+        .select(*keys, "p.metric", "p.value")
+        .where(F.col("value").isNotNull())
+        .groupBy(*keys, "metric", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def recounted(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Value counts under coarser keys."""
+    return counts.groupBy(*keys, "metric", "value").agg(F.sum("n").alias("n"))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Mapping[str, Mapping[str, float]],
@@ -28,25 +45,33 @@ def exact_quantiles(
     result has one row. A frame the optimizer sizes below `SINGLE_TASK_BYTES` takes the built-in aggregate;
     `buckets` forces the distributed path.
     """
-    keys = list(keys)
-    names = list(columns)
     if buckets is None and fits_one_task(df):
         direct = [
             F.percentile(finite(c), F.lit(float(share))).alias(label)
             for c, asked in columns.items() for label, share in asked.items()
         ]
         return df.groupBy(*keys).agg(*direct)
-    n = buckets or bucket_count(df)
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), finite(c).alias("value")) for c in names])
-    counts = (
-        df.select(*keys, F.explode(pairs).alias("p"))
-        .select(*keys, "p.metric", "p.value")
-        .where(F.col("value").isNotNull())
-        .groupBy(*keys, "metric", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     # Read three times from here on.
-    counts = pinned(counts)
+    counts = pinned(value_counts(df, list(columns), keys))
+    return quantiles_of_counts(counts, columns, keys, buckets)
+
+
+def quantiles_of_counts(
+    counts: DataFrame,
+    columns: Mapping[str, Mapping[str, float]],
+    keys: Sequence[str] = (),
+    buckets: int | None = None,
+) -> DataFrame:
+    """`exact_quantiles` over the rows of `value_counts`, which should be cheap to read again."""
+    keys = list(keys)
+    names = list(columns)
+    if buckets is None and fits_one_task(counts):
+        weighted = [
+            F.percentile(F.when(F.col("metric") == c, F.col("value")), F.lit(float(share)), F.col("n")).alias(label)
+            for c, asked in columns.items() for label, share in asked.items()
+        ]
+        return counts.groupBy(*keys).agg(*weighted)
+    n = buckets or bucket_count(counts)
     cuts = counts.agg(
         F.struct(*[cut_points(F.when(F.col("metric") == c, F.col("value")), n).alias(f"c{i}")
                    for i, c in enumerate(names)]).alias("s")

@@ -99,8 +99,11 @@ def repair_anomalies(
     z = F.try_divide(F.col(column) - F.col("__mean"), F.col("__std"))
     flagged = scored.withColumn("__odd", F.coalesce(F.abs(z) > z_threshold, F.lit(False)))
     normal = F.when(~F.col("__odd"), F.col(column))
-    around = F.when(F.col("__odd"), F.collect_list(normal).over(w.rowsBetween(-window_size, window_size)))
-    near = flagged.withColumn("__near", array_median(around)).where("__own")
+    # Offsets are cheap for every row; the array is built for anomalies only, which are not their own neighbours.
+    offsets = {f"__{f.__name__}{k}": f(normal, k).over(w) for f in (F.lag, F.lead) for k in range(1, window_size + 1)}
+    around = F.array_compact(F.array(*offsets))
+    near = flagged.withColumns(offsets).where("__own").withColumn(
+        "__near", F.when(F.col("__odd"), array_median(around)))
     medians = exact_medians(df, {column: "__key_median"}, keys, buckets)
     out = _null_safe_join(near, medians, keys)
     value = F.when(F.col("__odd"), F.coalesce("__near", "__key_median")).otherwise(F.col(column))
