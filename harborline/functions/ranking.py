@@ -1,8 +1,8 @@
 """Exact row numbers and ranks without ever sorting a whole frame, or a whole key, in one task.
 
 A sketch of the order columns gives cut points. The bucket of a row is a pure function of its values:
-the gap between two cuts it falls in, or the cut it is equal to. A bucket of rows equal to a cut holds one
-value only, so it is divided further by the cuts of the next order column. Each bucket is then sorted on its
+the gap between two cuts it falls in, or the cut it is equal to. A value frequent enough to stand at several cuts has a
+bucket of its own, which is divided further by the cuts of the next order column. Each bucket is then sorted on its
 own and shifted by the number of rows in the buckets before it.
 """
 
@@ -43,17 +43,19 @@ def fits_one_task(df: DataFrame) -> bool:
 def cut_points(value: Column, buckets: int) -> Column:
     """Aggregate: sorted distinct cut values of a column, from a mergeable sketch of bounded size.
 
-    The result holds all cuts (`fine`) and every stride-th of them (`coarse`).
+    The result holds all cuts (`fine`), every stride-th of them (`coarse`), and the values standing at two cuts or more
+    (`heavy`): those that fill whole buckets of their own.
     """
     stride = max(2, math.isqrt(buckets))
     shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     sketch = F.percentile_approx(value, shares, F.lit(10 * buckets))
-    cuts = F.array_sort(F.array_distinct(F.coalesce(sketch, F.array())))
-    return bind_value(cuts, lambda c: F.struct(
-        c.alias("fine"),
-        F.filter(c, lambda _, i: i % stride == 0).alias("coarse"),
+    cuts = F.array_sort(F.coalesce(sketch, F.array()))
+    return bind_value(cuts, lambda c: bind_value(F.array_distinct(c), lambda fine: F.struct(
+        fine.alias("fine"),
+        F.filter(fine, lambda _, i: i % stride == 0).alias("coarse"),
+        F.array_distinct(F.filter(c, lambda v, i: (i > 0) & (v == F.get(c, F.greatest(i - 1, F.lit(0)))))).alias("heavy"),
         F.lit(stride).alias("stride"),
-    ))
+    )))
 
 
 def locate(value: Column, cuts: Column) -> Column:
@@ -103,7 +105,9 @@ def with_sort_bucket(
         place = locate(part, F.col("__cuts")[f"c{i}"])
         place = F.when(single_valued, place).otherwise(F.lit(0))
         fields.append((place if ascending else -place).alias(f"b{i}"))
-        single_valued = single_valued & ((place % 2) != 0)
+        # Only a value that fills buckets of its own is divided further, or the missing values.
+        heavy = part.isNull() | F.coalesce(F.array_contains(F.col("__cuts")[f"c{i}"]["heavy"], part), F.lit(False))
+        single_valued = single_valued & heavy
     return out.withColumn(name, F.struct(*fields)).drop("__cuts")
 
 
