@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_medians
@@ -45,17 +45,21 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"__j{i}" for i in range(len(keys))])
 
 
-def _rolling(column: str, window, width: int, exclude_center: bool) -> tuple[Column, Column]:
-    """Mean and deviation of a full centred window; NULL at the ends of a key."""
+def _with_rolling(df: DataFrame, column: str, window, width: int, exclude_center: bool) -> DataFrame:
+    """Adds __roll_mean and __roll_std of a full centred window; NULL at the ends of a key."""
     half = width // 2
     span = window.rowsBetween(-half, half)
     full = F.count(column).over(span) == width
     if not exclude_center:
-        return F.when(full, F.avg(column).over(span)), F.when(full, F.stddev_samp(column).over(span))
-    near = [f(column, k).over(window) for f in (F.lag, F.lead) for k in range(1, half + 1)]
-    mean = sum(near[1:], near[0]) / len(near)
-    squares = [(c - mean) * (c - mean) for c in near]
-    return F.when(full, mean), F.when(full, F.sqrt(sum(squares[1:], squares[0]) / (len(near) - 1)))
+        return df.withColumns({"__roll_mean": F.when(full, F.avg(column).over(span)),
+                               "__roll_std": F.when(full, F.stddev_samp(column).over(span))})
+    near = {f"__at{f.__name__}{k}": f(column, k).over(window) for f in (F.lag, F.lead) for k in range(1, half + 1)}
+    out = df.withColumns({**near, "__full": full})
+    values = [F.col(c) for c in near]
+    out = out.withColumn("__roll_mean", F.when(F.col("__full"), sum(values[1:], values[0]) / len(values)))
+    squares = [(v - F.col("__roll_mean")) * (v - F.col("__roll_mean")) for v in values]
+    spread = F.sqrt(sum(squares[1:], squares[0]) / (len(values) - 1))
+    return out.withColumn("__roll_std", spread).drop(*near, "__full")
 
 
 def rolling_statistics(
@@ -68,12 +72,11 @@ def rolling_statistics(
     halo = window_size // 2
     chunked = _chunked(df, keys, order_by, halo, chunk_rows, buckets)
     w = Window.partitionBy(*keys, "__chunk").orderBy("__pos")
-    mean, std = _rolling(column, w, window_size, False)
-    local = chunked.withColumns({"__mean": mean, "__std": std}).where("__own")
+    local = _with_rolling(chunked, column, w, window_size, False).where("__own")
     out = _null_safe_join(local, _key_statistics(df, column, keys), keys)
     return out.select(
-        *df.columns, F.coalesce("__mean", "__key_mean").alias("rolling_mean"),
-        F.coalesce(F.nullif("__std", F.lit(0.0)), "__key_std").alias("rolling_std"))
+        *df.columns, F.coalesce("__roll_mean", "__key_mean").alias("rolling_mean"),
+        F.coalesce(F.nullif("__roll_std", F.lit(0.0)), "__key_std").alias("rolling_std"))
 
 
 def repair_anomalies(
@@ -88,13 +91,12 @@ def repair_anomalies(
     """
     keys = list(partition_by)
     half = window_size // 2
-    with_stats = _null_safe_join(df, _key_statistics(df, column, keys), keys)
-    chunked = _chunked(with_stats, keys, order_by, window_size + half, chunk_rows, buckets)
+    chunked = _chunked(df, keys, order_by, window_size + half, chunk_rows, buckets)
+    with_stats = _null_safe_join(chunked, _key_statistics(df, column, keys), keys)
     w = Window.partitionBy(*keys, "__chunk").orderBy("__pos")
-    mean, std = _rolling(column, w, window_size, exclude_center)
-    scored = chunked.withColumns({
-        "__mean": F.coalesce(mean, F.col("__key_mean")),
-        "__std": F.coalesce(F.nullif(std, F.lit(0.0)), F.col("__key_std")),
+    scored = _with_rolling(with_stats, column, w, window_size, exclude_center).withColumns({
+        "__mean": F.coalesce("__roll_mean", "__key_mean"),
+        "__std": F.coalesce(F.nullif("__roll_std", F.lit(0.0)), "__key_std"),
     })
     z = F.try_divide(F.col(column) - F.col("__mean"), F.col("__std"))
     flagged = scored.withColumn("__odd", F.coalesce(F.abs(z) > z_threshold, F.lit(False)))

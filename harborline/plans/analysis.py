@@ -39,7 +39,7 @@ def prepare_lines(
     items = impute_item_values(items, products)
     orders = O.derive_order_columns(O.synthesize_stamps(orders))
     if repair:
-        timed = items.join(orders.select("order_id", "order_purchase_timestamp"), "order_id", "left")
+        timed = pinned(items.join(orders.select("order_id", "order_purchase_timestamp"), "order_id", "left"))
         for column in MONEY:
             timed = pinned(repair_anomalies(timed, column, ["product_id"], LINE_ORDER).drop("is_anomaly"))
         items = timed.drop("order_purchase_timestamp")
