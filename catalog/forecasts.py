@@ -7,7 +7,6 @@ from harborline.operators import forecast as P
 from harborline.operators import inventory as H
 from harborline.operators import metrics as M
 from harborline.operators import quality as Q
-from harborline.operators import sellers as S
 from harborline.operators import series as Z
 
 from .base import query

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from harborline.operators import arima as X
 from harborline.operators import clusters as C
-from harborline.operators import demand as D
 from harborline.operators import metrics as M
 from harborline.operators import sellers as S
 from harborline.session import scratch_path

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from harborline.functions.neighbours import nearest_rows
 from harborline.operators import anomalies as A
-from harborline.operators import orders as O
 from harborline.operators import products as P
 from harborline.operators.quality import imputation_report
 from harborline.session import pinned

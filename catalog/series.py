@@ -1,7 +1,5 @@
 """Monthly series per sub-category, and per product where natural gaps occur."""
 
-import math
-
 from pyspark.sql import functions as F
 
 from harborline.operators import demand as D

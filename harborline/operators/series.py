@@ -71,7 +71,9 @@ def fill_months(df: DataFrame, method: str = "linear") -> DataFrame:
     if method == "mean":
         return gaps.withColumn("y", F.coalesce("y", F.avg("y").over(whole())))
     before = F.last("y", ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("y", ignorenulls=True).over(along().rowsBetween(0, Window.unboundedFollowing))
+    # Looking ahead is looking back along the reversed months: the frame grows and is never summed up again.
+    reverse = Window.partitionBy("series").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last("y", ignorenulls=True).over(reverse)
     if method == "ffill":
         return gaps.withColumn("y", before)
     if method == "bfill":
@@ -82,7 +84,7 @@ def fill_months(df: DataFrame, method: str = "linear") -> DataFrame:
     placed = gaps.withColumn("__pos", F.row_number().over(along())).withColumns({
         "__a": before, "__b": after,
         "__pa": F.last(known, ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0)),
-        "__pb": F.first(known, ignorenulls=True).over(along().rowsBetween(0, Window.unboundedFollowing)),
+        "__pb": F.last(known, ignorenulls=True).over(reverse),
     })
     between = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__pos") - F.col("__pa")) / (
         F.col("__pb") - F.col("__pa"))

@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from harborline.functions.neighbours import nearest_rows
 from harborline.functions.quantiles import counted_median, exact_medians, exact_quantiles
