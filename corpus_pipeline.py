@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm import mixing, packing, pii, simhash, toxicity
 from harborline.llm.common import hidden, small_batches, table
-from harborline.session import configure, scratch_path
+from harborline.session import configure, pinned, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     away = hidden(docs, "away")
     copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(away)).distinct()
     kept = docs.join(copies, docs["doc_id"] == copies[away], "left_anti")
-    key = hidden(docs, "copy")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
-    single = kept.join(repeated, kept["doc_id"] == repeated[key], "left_anti")
-    again = kept.join(repeated, kept["doc_id"] == repeated[key], "left_semi")
-    return single.unionByName(again.dropDuplicates(["doc_id"]))
+    repeated = pinned(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(
+        F.col("doc_id").alias(hidden(docs, "copy"))))
+    if repeated.isEmpty():
+        return kept
+    same = kept["doc_id"] == repeated[repeated.columns[0]]
+    return kept.join(repeated, same, "left_anti").unionByName(
+        kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
