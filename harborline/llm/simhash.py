@@ -203,15 +203,12 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     """
     spark = prints.sparkSession
     copies = prints.select("fp", "id").mapInArrow(_replicate, "anchor long, fp long, id long, resident boolean")
-    sizes = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("resident").cast("long")).alias("m"))
-    met = pinned(sizes.where((F.col("n") > 1) & (F.col("m") > 0)).select(
-        "anchor",
-        F.ceil(F.col("m") / F.lit(BLOCK_ROWS)).cast("int").alias("mi"),
-        F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int").alias("mj"),
-    ))
-    crowded = pinned(met.where("mj > 1"))
+    count, blocks = F.count(F.lit(1)), lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+    crowded = pinned(copies.groupBy("anchor").agg(
+        blocks(count).alias("mj"), F.greatest(F.lit(1), blocks(F.sum(F.col("resident").cast("long")))).alias("mi"))
+        .where("mj > 1"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = copies.join(met.select("anchor"), "anchor", "left_semi").join(crowded, "anchor", "left")
+    rows = copies.join(crowded, "anchor", "left")
     alone = rows.where("mj IS NULL").select(
         "anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "id", "resident", F.lit(True).alias("visitor"))
     spread = rows.where("mj IS NOT NULL")
