@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,8 +19,9 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # Words kept with their ids in a Python worker; the store is emptied when full.
-WORDS_KEPT = 400_000
-LONGEST_WORD = 48
+WORDS_KEPT, WORDS_AT_ONCE = 900_000, 20_000
+# Marks that are cut off a word of letters.
+ENDS = ".,"
 # Branch-and-bound: fillings tried per largest document, and states visited.
 BRANCHES, NODES = 4, 500
 ROWS_PER_CELL = 500
@@ -28,11 +30,11 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
 class WordEncoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes, word by word.
+    """Token ids of texts as unsigned 32-bit bytes in the machine's (little-endian) order, word by word.
 
-    The vocabulary never joins text across a single space that has non-space on either side: the space starts the next
-    word. Texts are split there and the ids of each word looked up; a text with other white space next to a space is
-    encoded as a whole.
+    The vocabulary never joins text across a single space or line end with non-space on either side: the space starts the
+    next word, the line end is a token of its own. Nor does it join a letter and a full stop or comma. Texts are split
+    there and the ids of each word looked up; a text with other white space beside a split is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -41,32 +43,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes | bool] = {}
+        self.spaced: dict[str, bytes | bool] = {}
+        self.bare: dict[str, bytes | bool] = {}
+        self.line_end, *ends = self._encode(["\n", *ENDS])
+        self.ends = dict(zip(ENDS, ends))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes | bool]:
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        found: dict[str, bytes | bool] = dict.fromkeys(words, False)
-        found.update(zip(plain, self._encode([f" {w}" for w in plain])))
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST_WORD)
-        return found
-
-    def __call__(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        if first and (first[-1].isspace() or not words):
-            return self._encode([text])[0]
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            found = self._learn(list({w for w, i in zip(words, ids) if i is None}))
-            ids = [found[w] if i is None else i for w, i in zip(words, ids)]
-        if False in ids or (words and not first):
-            return self._encode([text])[0]
-        return b"".join(self._encode([first]) + ids) if first else b""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes | bool], words: set[str], lead: str) -> None:
+        """Ids of words behind `lead`; False for one that may not be encoded alone."""
+        known.update(dict.fromkeys(words, False))
+        words = {w for w in words if w and not w[0].isspace() and not w[-1].isspace()}
+        ended = [w for w in words if w[-1] in ENDS and w[:-1].isalpha()]
+        plain = list(words.difference(ended).union([w[:-1] for w in ended if w[:-1] not in known]))
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            part = plain[at : at + WORDS_AT_ONCE]
+            known.update(zip(part, self._encode([lead + w for w in part])))
+        known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.spaced) + len(self.bare) > WORDS_KEPT:
+            self.spaced.clear()
+            self.bare.clear()
+        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        spaced, bare = self.spaced, self.bare
+        self._learn(bare, {line[0] for lines in split for line in lines if line[0] not in bare}, "")
+        self._learn(spaced, {w for lines in split for line in lines for w in line[1:] if w not in spaced}, " ")
+        out: list[bytes | None] = []
+        for lines in split:
+            ids: list[bytes | bool] = []
+            for line in lines:
+                ids.append(bare[line[0]])
+                ids.extend(map(spaced.__getitem__, line[1:]))
+                ids.append(self.line_end)
+            out.append(None if False in ids else b"".join(ids[:-1]))
+        whole = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -104,8 +119,9 @@ def tokenised_pieces(
         encode = _encoder(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end if text else end
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for key, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+                ids += end
                 rows.extend((key, i, s, n, ids[4 * s : 4 * (s + n)]) for i, (s, n) in enumerate(cuts(len(ids) // 4, capacity)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary())
