@@ -43,6 +43,7 @@ IMPLIED_END = {
 }
 # An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html".split())
+TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
 HEAD_ONLY = frozenset("title meta link base style script template noscript".split())
 
 
@@ -87,7 +88,7 @@ def parse_tree(source: str) -> Node:
             elif name == "br":
                 stack[-1].children.append(Node("br", {}))
             else:
-                close({name}, SCOPE - {name})
+                close({name}, ({"table", "html"} if name in TABLE_PARTS else SCOPE) - {name})
             continue
         if stack[-1].name == "head" and name not in HEAD_ONLY:
             stack.pop()

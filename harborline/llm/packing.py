@@ -19,7 +19,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # Words kept with their ids in a Python worker; the store is emptied when full.
-WORDS_KEPT, WORDS_AT_ONCE = 900_000, 20_000
+WORDS_KEPT, WORDS_AT_ONCE, TEXTS_AT_ONCE = 400_000, 20_000, 256
 # Marks that are cut off a word of letters.
 ENDS = ".,"
 # Branch-and-bound: fillings tried per largest document, and states visited.
@@ -62,7 +62,11 @@ class WordEncoder:
             known.update(zip(part, self._encode([lead + w for w in part])))
         known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            yield from self._some(texts[at : at + TEXTS_AT_ONCE])
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced) + len(self.bare) > WORDS_KEPT:
             self.spaced.clear()
             self.bare.clear()

@@ -13,13 +13,13 @@ from .common import cell_of, cells
 SHARDS = 40
 OVERHEAD_BYTES = 16
 # A group is cut so that no piece is more than this part of a shard in any dimension.
-PIECES_PER_SHARD = 8
+PIECES_PER_SHARD = 32
 # Items of at least these parts of all the data are placed level by level, the largest first.
 LEVELS = (1 / 4_000, 1 / 400_000)
 ITEMS_PER_CELL = 4_096
 ROWS_PER_CELL = 1_000
 # Bytes weigh most in the dot product, so that sizes come out near equal.
-WEIGHTS = (16.0, 1.0, 1.0)
+WEIGHTS = (100.0, 1.0, 1.0)
 GROUP = ["k1", "k2", "size"]
 ITEM = [*GROUP, "piece"]
 
@@ -61,7 +61,7 @@ def shard_documents(
 
     Output: the id, `size` (UTF-8 bytes plus 16), `tokens` (runs of non-space), `text_crc32`, `law` (always `bytes`),
     `shard`, `slot` (gapless from 0 in every shard), `grown_shard` (NULL under this law). Rows of equal text form a group
-    and stay together unless the group is more than an eighth of a shard; then ids are hashed into pieces. NULL text is an
+    and stay together unless the group is more than a 32nd of a shard; then ids are hashed into pieces. NULL text is an
     empty text of size 16, repeated rows are rows like any other, a NULL id counts as an id, an empty table gives no
     rows, and columns other than id and text are not read.
 
