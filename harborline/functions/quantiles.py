@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import pinned
 from .columns import finite
-from .ranking import bucket_count, cut_points, fits_one_task, locate
+from .ranking import bucket_count, cut_points, locate
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -42,15 +42,8 @@ def exact_quantiles(
     """One row per key with the asked quantiles, linearly interpolated between neighbouring ranks.
 
     `columns` maps a numeric column to {output name: share}. NULL and NaN values are left out. Without keys the
-    result has one row. A frame the optimizer sizes below `SINGLE_TASK_BYTES` takes the built-in aggregate;
-    `buckets` forces the distributed path.
+    result has one row. The value counts are written once, which is a job of its own.
     """
-    if buckets is None and fits_one_task(df):
-        direct = [
-            F.percentile(finite(c), F.lit(float(share))).alias(label)
-            for c, asked in columns.items() for label, share in asked.items()
-        ]
-        return df.groupBy(*keys).agg(*direct)
     # Read three times from here on.
     counts = pinned(value_counts(df, list(columns), keys))
     return quantiles_of_counts(counts, columns, keys, buckets)
@@ -65,12 +58,6 @@ def quantiles_of_counts(
     """`exact_quantiles` over the rows of `value_counts`, which should be cheap to read again."""
     keys = list(keys)
     names = list(columns)
-    if buckets is None and fits_one_task(counts):
-        weighted = [
-            F.percentile(F.when(F.col("metric") == c, F.col("value")), F.lit(float(share)), F.col("n")).alias(label)
-            for c, asked in columns.items() for label, share in asked.items()
-        ]
-        return counts.groupBy(*keys).agg(*weighted)
     n = buckets or bucket_count(counts)
     cuts = counts.agg(
         F.struct(*[cut_points(F.when(F.col("metric") == c, F.col("value")), n).alias(f"c{i}")

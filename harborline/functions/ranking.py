@@ -13,49 +13,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import pinned
 from .columns import bind_value
 
-MIN_BUCKETS = 32
-SINGLE_TASK_BYTES = 32 * 1024 * 1024
-MAX_BUCKETS = 10_000
-STRING_CHUNK_BYTES = 7
-STRING_CHUNKS = 3
+MIN_BUCKETS, ROWS_PER_BUCKET = 32, 250_000
+SAMPLED_PER_BUCKET = 32
 
 
 def bucket_count(df: DataFrame) -> int:
-    """As many sort buckets as the session uses shuffle partitions, within fixed bounds."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
+    """As many sort buckets as the rows need, whatever their number."""
+    return max(MIN_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate is small enough to sort the frame, or any key of it, in one task.
-
-    The estimate multiplies the sides of a join, so it errs towards the distributed path.
-    """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= SINGLE_TASK_BYTES
+def _cut_table(cuts: Column, buckets: int) -> Column:
+    """The cuts (`fine`), every stride-th of them (`coarse`), and those standing at two places or more (`heavy`)."""
+    stride = max(2, math.isqrt(buckets))
+    return bind_value(cuts, lambda c: bind_value(F.array_distinct(c), lambda fine: F.struct(
+        fine.alias("fine"),
+        F.filter(fine, lambda _, i: i % stride == 0).alias("coarse"),
+        F.array_distinct(F.filter(c, lambda v, i: (i > 0) & (v == F.get(c, F.greatest(i - 1, F.lit(0)))))).alias("heavy"),
+        F.lit(stride).alias("stride"),
+    )))
 
 
 def cut_points(value: Column, buckets: int) -> Column:
-    """Aggregate: sorted distinct cut values of a column, from a mergeable sketch of bounded size.
+    """Aggregate: sorted distinct cut values of a double column, from a mergeable sketch of bounded size.
 
     The result holds all cuts (`fine`), every stride-th of them (`coarse`), and the values standing at two cuts or more
     (`heavy`): those that fill whole buckets of their own.
     """
-    stride = max(2, math.isqrt(buckets))
     shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     sketch = F.percentile_approx(value, shares, F.lit(10 * buckets))
-    cuts = F.array_sort(F.coalesce(sketch, F.array()))
-    return bind_value(cuts, lambda c: bind_value(F.array_distinct(c), lambda fine: F.struct(
-        fine.alias("fine"),
-        F.filter(fine, lambda _, i: i % stride == 0).alias("coarse"),
-        F.array_distinct(F.filter(c, lambda v, i: (i > 0) & (v == F.get(c, F.greatest(i - 1, F.lit(0)))))).alias("heavy"),
-        F.lit(stride).alias("stride"),
-    )))
+    return _cut_table(F.array_sort(F.coalesce(sketch, F.array())), buckets)
+
+
+def sampled_cuts(value: Column, chosen: Column, buckets: int) -> Column:
+    """Aggregate: the same table for a column of any ordered type, from whole values of the rows `chosen` marks.
+
+    The values are kept as they are, so long texts and large whole numbers are told apart to the last byte.
+    """
+    values = F.array_sort(F.collect_list(F.when(chosen, value)))
+    places = F.sequence(F.lit(1), F.lit(buckets - 1))
+    cuts = bind_value(values, lambda v: F.when(F.size(v) > 0, F.transform(
+        places, lambda i: F.get(v, F.floor(i * F.size(v) / F.lit(buckets)).cast("int")))).otherwise(F.slice(v, 1, 0)))
+    return _cut_table(cuts, buckets)
 
 
 def locate(value: Column, cuts: Column) -> Column:
@@ -71,42 +73,30 @@ def locate(value: Column, cuts: Column) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(code)
 
 
-def _sortable_parts(df: DataFrame, name: str) -> list[Column]:
-    """Numeric stand-ins that sort like the column; a text column gives its leading bytes."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        width = STRING_CHUNK_BYTES
-        raw = F.encode(F.col(name), "UTF-8")
-        return [
-            F.conv(F.rpad(F.hex(F.substring(raw, 1 + i * width, width)), 2 * width, "0"), 16, 10).cast("long")
-            for i in range(STRING_CHUNKS)
-        ]
-    return [F.col(name)]
-
-
 def with_sort_bucket(
     df: DataFrame, order_by: Sequence[tuple[str, bool]], name: str, buckets: int | None = None
 ) -> DataFrame:
     """Add a struct column whose order agrees with the order columns and whose groups are small.
 
-    `order_by` holds (column, ascending) pairs.
+    `order_by` holds (column, ascending) pairs. Cuts come from a sample of rows taken by a hash of all order columns, so a
+    frequent value stands in it as often as its share. Only rows equal to a cut in one column are divided by the next.
     """
     n = buckets or bucket_count(df)
-    parts: list[tuple[Column, bool]] = []
-    for column, ascending in order_by:
-        parts.extend((part, ascending) for part in _sortable_parts(df, column))
+    names = [c for c, _ in order_by]
+    step = max(1, df.count() // (SAMPLED_PER_BUCKET * n))
+    chosen = F.pmod(F.xxhash64(*names), F.lit(step)) == 0
     cuts = df.agg(
-        F.struct(*[cut_points(part, n).alias(f"c{i}") for i, (part, _) in enumerate(parts)]).alias("s")
+        F.struct(*[sampled_cuts(F.col(c), chosen, n).alias(f"c{i}") for i, c in enumerate(names)]).alias("s")
     ).scalar()
     out = df.withColumn("__cuts", cuts)
     fields = []
     single_valued = F.lit(True)
-    for i, (part, ascending) in enumerate(parts):
-        place = locate(part, F.col("__cuts")[f"c{i}"])
-        place = F.when(single_valued, place).otherwise(F.lit(0))
+    for i, (column, ascending) in enumerate(order_by):
+        value = F.col(column)
+        place = F.when(single_valued, locate(value, F.col("__cuts")[f"c{i}"])).otherwise(F.lit(0))
         fields.append((place if ascending else -place).alias(f"b{i}"))
         # Only a value that fills buckets of its own is divided further, or the missing values.
-        heavy = part.isNull() | F.coalesce(F.array_contains(F.col("__cuts")[f"c{i}"]["heavy"], part), F.lit(False))
+        heavy = value.isNull() | F.coalesce(F.array_contains(F.col("__cuts")[f"c{i}"]["heavy"], value), F.lit(False))
         single_valued = single_valued & heavy
     return out.withColumn(name, F.struct(*fields)).drop("__cuts")
 
@@ -125,14 +115,10 @@ def with_row_number(
 ) -> DataFrame:
     """Row number from 1 per key (or over the frame), as exact as an unpartitioned window.
 
-    The order columns should identify a row; `total` names an extra column with the group's row count. A frame the
-    optimizer sizes below `SINGLE_TASK_BYTES` takes the plain window; `buckets` forces the distributed path.
+    The order columns should identify a row; `total` names an extra column with the group's row count. Counting the rows
+    and sampling them are jobs of their own.
     """
     keys = list(partition_by)
-    if buckets is None and fits_one_task(df):
-        whole = Window.partitionBy(*(keys or [F.lit(0)]))
-        out = df.withColumn(name, F.row_number().over(whole.orderBy(*_ordering(order_by))).cast("long"))
-        return out.withColumn(total, F.count(F.lit(1)).over(whole)) if total else out
     marked = with_sort_bucket(df, order_by, "__b", buckets)
     sizes = marked.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     over_buckets = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
@@ -168,16 +154,9 @@ def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int | None = N
         .groupBy("metric", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    if buckets is None and fits_one_task(df):
-        whole = Window.partitionBy("metric")
-        return (
-            counts.withColumn("upto", F.sum("n").over(whole.orderBy("value")))
-            .withColumn("rows", F.sum("n").over(whole))
-            .select("metric", "value", (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("mean_rank"), "rows")
-        )
     # Read three times from here on.
     counts = pinned(counts)
-    n = buckets or bucket_count(df)
+    n = buckets or bucket_count(counts)
     cuts = counts.agg(
         F.struct(*[cut_points(F.when(F.col("metric") == c, F.col("value")), n).alias(f"c{i}") for i, c in
                    enumerate(columns)]).alias("s")

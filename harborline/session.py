@@ -40,10 +40,12 @@ def local_session(app: str = "harborline", cores: str = "*", **conf: str) -> Spa
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
+    """The shared folder named by the cluster. Only a single-machine session may do without: it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="harborline-"))
     return context.getCheckpointDir()
 

@@ -79,6 +79,14 @@ def recent_runs(stored: DataFrame, limit: int = 10) -> DataFrame:
     return stored.orderBy(F.desc("stored_at"), F.desc("run_id")).limit(limit)
 
 
+def partition_folder(run_id: str) -> str:
+    """Folder of a run inside a collection, escaped as the partitioned writer does; ids that could leave it are refused."""
+    if not run_id or "/" in run_id or "\\" in run_id or run_id in (".", ".."):
+        raise ValueError(f"not a run id: {run_id!r}")
+    special = set("\"#%'*:=?{[]^\x7f") | {chr(c) for c in range(1, 32)}
+    return "run_id=" + "".join(f"%{ord(c):02X}" if c in special else c for c in run_id)
+
+
 class RunStore:
     """The five collections below one folder. Reads of one run touch that run's folder only."""
 
@@ -93,14 +101,20 @@ class RunStore:
 
     def store(self, collection: str, df: DataFrame, run_id: str, stored_at: datetime | None = None) -> int:
         """Append a result under its run; returns the number of rows the run now holds in the collection."""
+        partition_folder(run_id)
         rows = stamped(encode_arrays(df), run_id, stored_at)
         rows.write.mode("append").partitionBy("run_id").parquet(self.path(collection))
         return self.collection(collection).where(F.col("run_id") == run_id).count()
 
     def collection(self, collection: str) -> DataFrame:
-        """A whole collection; run ids stay text."""
-        frame = self.spark.read.parquet(self.path(collection))
-        return frame.withColumn("run_id", F.col("run_id").cast("string"))
+        """A whole collection; run ids stay the text they were stored as, `007` included."""
+        setting = "spark.sql.sources.partitionColumnTypeInference.enabled"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "false")
+        try:
+            return self.spark.read.parquet(self.path(collection))
+        finally:
+            self.spark.conf.set(setting, before)
 
     def _exists(self, collection: str) -> bool:
         try:
@@ -127,11 +141,10 @@ class RunStore:
 
         The counts are taken before anything is removed. Other partitions are left untouched.
         """
-        if not run_id:
-            raise ValueError("run_id must be given")
+        folder = partition_folder(run_id)
         removed = self.spark.createDataFrame(self.counts(run_id).collect(), "collection string, n long")
         for name in (n for n in COLLECTIONS if self._exists(n)):
-            location = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/run_id={run_id}")
+            location = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
             files = location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
             if files.exists(location):
                 files.delete(location, True)

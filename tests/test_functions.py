@@ -3,10 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from harborline.functions.neighbours import nearest_rows
 from harborline.functions.quantiles import counted_median, exact_medians, exact_quantiles
-from harborline.functions.ranking import average_ranks, with_row_number
+from harborline.functions.ranking import average_ranks, with_row_number, with_sort_bucket
 from harborline.operators.anomalies import repair_anomalies, rolling_statistics
 
 
@@ -152,3 +153,44 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, sf_dir):
         seen.append(sorted(map(tuple, frame.collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("case", ["padded text", "hot text prefix", "large numbers", "hot large number"])
+def test_row_number_on_awkward_keys(spark, case):
+    """Long padded ids, one hot 30-character prefix, and whole numbers beyond a double: right ranks, no overfull bucket."""
+    n, buckets = 4000, 32
+    big = 2**60
+    ids = {
+        "padded text": [f"{i:028d}" for i in range(n)],
+        "hot text prefix": [("x" * 30 if i % 3 else "y") + f"{i:06d}" for i in range(n)],
+        "large numbers": [big + i for i in range(n)],
+        "hot large number": [big if i % 3 == 0 else big + i for i in range(n)],
+    }[case]
+    pdf = pd.DataFrame({"key": ids, "line": np.arange(n)[::-1].copy()})
+    df = spark.createDataFrame(pdf).repartition(5)
+    order = [("key", True), ("line", True)]
+    out = with_row_number(df, order, "rn", buckets=buckets).toPandas().sort_values(["key", "line"])
+    assert out["rn"].tolist() == list(range(1, n + 1))
+    sizes = with_sort_bucket(df, order, "b", buckets).groupBy("b").count().toPandas()["count"]
+    assert sizes.max() <= 2.5 * n / buckets
+    chunks = rolling_statistics(df.withColumn("v", F.col("line") * 1.0), "v", [], ["key", "line"], chunk_rows=300, buckets=buckets)
+    got = chunks.toPandas().sort_values(["key", "line"])["rolling_mean"].to_numpy()
+    want = pdf.sort_values(["key", "line"])["line"].rolling(5, center=True).mean().fillna(pdf["line"].mean()).to_numpy()
+    assert np.allclose(got, want)
+
+
+def test_run_ids_stay_what_they_are(spark, tmp_path):
+    from harborline.sources.runstore import RunStore, partition_folder
+
+    store = RunStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1.0)], "category string, value double")
+    for run_id in ("007", "7", "2024-01-01 10:00", "50% {x}=1"):
+        assert store.store("inventory", rows, run_id) == 1
+    for run_id in ("007", "2024-01-01 10:00", "50% {x}=1"):
+        removed = {r["collection"]: r["n"] for r in store.delete_run(run_id).collect()}
+        assert removed["inventory"] == 1
+        assert store.collection("inventory").where(F.col("run_id") == run_id).count() == 0
+    assert store.collection("inventory").where("run_id = '7'").count() == 1
+    for bad in ("", "a/../b", "..", "a\\b"):
+        with pytest.raises(ValueError):
+            partition_folder(bad)
