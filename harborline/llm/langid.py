@@ -19,62 +19,97 @@ from .common import small_batches
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 WORD_START = "▁"
+EDGE = ".,;:!?\"'()[]{}<>«»“”„…-"
+# Labelled rows the model is fitted on at most, taken by hash.
+TRAINING_ROWS = 20_000
 # A longer run of non-space is read as several words of this length, so that products stay within a double.
 LONGEST_WORD = 32
 # Probability of a character that no piece covers; smoothing count of every piece; training rounds.
 UNKNOWN, SMOOTHING, ROUNDS = 1e-7, 0.1, 2
 WORDS_KEPT, FLUSH_WORDS = 300_000, 200_000
 LATTICE_WORDS = 4_096
+HASH_FACTOR = 0x9E3779B97F4A7C15
 UNDECIDED = "und"
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[str, int], int]:
-    """Number of every ordinary piece of the vocabulary, and the longest piece's length."""
+def pieces(path: str) -> dict[str, int]:
+    """Number of every ordinary piece of the vocabulary."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     found = [model.id_to_piece(i) for i in range(model.get_piece_size())
              if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return {p: i for i, p in enumerate(found)}, max(map(len, found))
+    return {p: i for i, p in enumerate(found)}
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased words with the vocabulary's word start; a piece never runs across two words."""
+def _characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+
+
+@lru_cache(maxsize=2)
+def _hashed_pieces(path: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every length from 1: ascending hashes of the pieces that long, and their numbers."""
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for piece, number in pieces(path).items():
+        h = 0
+        for c in _characters(piece).tolist():
+            h = (h * HASH_FACTOR + c) % (1 << 64)
+        by_length.setdefault(len(piece), []).append((h, number))
     out = []
-    for w in (text or "").lower().split():
-        if len(w) > LONGEST_WORD:
-            out.extend(WORD_START * (i == 0) + w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD))
-        else:
-            out.append(WORD_START + w)
+    for n in range(1, max(by_length) + 1):
+        rows = sorted(by_length.get(n, [(0, -1)]))
+        out.append((np.array([h for h, _ in rows], dtype=np.uint64), np.array([k for _, k in rows], dtype=np.int64)))
     return out
 
 
+def core_of(word: str) -> str:
+    """A word without punctuation at its edges; one of punctuation only stays."""
+    return word.strip(EDGE) or word
+
+
+def segments_of(word: str) -> list[str]:
+    """What the model reads for one word: the vocabulary's word start and the letters, an overlong word in parts.
+
+    A piece never runs across two words, so the sum over all segmentations of a text is the product over its words.
+    """
+    if len(word) <= LONGEST_WORD:
+        return [WORD_START + word]
+    return [WORD_START * (i == 0) + word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
+
+
+def words_of(text: str | None) -> list[str]:
+    return [part for w in (text or "").lower().split() for part in segments_of(core_of(w))]
+
+
 class Lattice:
     """All pieces at all places of some words, ordered by where they end, then by word."""
 
     def __init__(self, words: list[str], path: str):
-        known, longest = pieces(path)
-        unknown = len(known)
-        word, start, end, piece = [], [], [], []
-        for k, w in enumerate(words):
-            n = len(w)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = known.get(w[i:j])
-                    if p is None:
-                        if j > i + 1:
-                            continue
-                        p = unknown
-                    word.append(k)
-                    start.append(i)
-                    end.append(j)
-                    piece.append(p)
+        unknown = len(pieces(path))
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        letters = _characters("".join(words))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.repeat(sizes, sizes) - place
+        # A hash of the next n letters at every place, for n = 1, 2, ..., is looked up among the pieces of that length.
+        at, hashes, found = np.arange(len(letters)), np.zeros(len(letters), dtype=np.uint64), []
+        for n, (known, numbers) in enumerate(_hashed_pieces(path), start=1):
+            inside = left[at] >= n
+            at, hashes = at[inside], hashes[inside]
+            if not len(at):
+                break
+            hashes = hashes * np.uint64(HASH_FACTOR) + letters[at + n - 1]
+            k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = (known[k] == hashes) & (numbers[k] >= 0)
+            number = np.where(hit, numbers[k], unknown)
+            keep = at if n == 1 else at[hit]
+            found.append((owner[keep], place[keep], place[keep] + n, number if n == 1 else number[hit]))
+        word, start, end, piece = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
         self.words = len(words)
-        self.length = np.array([len(w) for w in words], dtype=np.int64)
-        columns = [np.array(c, dtype=np.int64) for c in (word, start, end, piece)]
-        order = np.lexsort((columns[0], columns[2]))
-        self.word, self.start, self.end, self.piece = (c[order] for c in columns)
+        self.length = sizes
+        order = np.argsort(end * len(words) + word, kind="stable")
+        self.word, self.start, self.end, self.piece = (c[order] for c in (word, start, end, piece))
         self.edges = np.searchsorted(self.end, np.arange(1, int(self.length.max(initial=0)) + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -143,11 +178,16 @@ def train(texts: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS)
     is one number per piece and language. Without rows there is no language.
     """
     spark = small_batches(texts.sparkSession)
-    rows = texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", *[c for c in texts.columns if c == "id"])
+    total = rows.count()
+    if total > TRAINING_ROWS:
+        # Rows of least hash, a tenth below the bound; taken by a filter, so no task gathers them.
+        part = int(0.9 * TRAINING_ROWS / total * 1_000_000)
+        rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < part)
     words = pinned(rows.mapInArrow(_count_words, "lang string, word string, n long")
                    .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
-    number = len(pieces(vocabulary)[0])
+    number = len(pieces(vocabulary))
     p = np.full((number + 1, len(languages)), 1 / (number + 1))
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast(p)
@@ -188,13 +228,17 @@ def predictor(model: LanguageModel):
         if store["model"] != token or len(store["place"]) > WORDS_KEPT:
             store.update(model=token, place={}, logs=np.zeros((0, len(languages))))
         place = store["place"]
-        lists = [words_of(t) for t in texts]
-        fresh = list({w for words in lists for w in words if w not in place})
+        lists = [(t or "").lower().split() for t in texts]
+        fresh = {w for words in lists for w in words if w not in place}
+        cores = list({core_of(w) for w in fresh}.difference(place))
         logs = [store["logs"]]
-        for at in range(0, len(fresh), LATTICE_WORDS):
-            part = fresh[at : at + LATTICE_WORDS]
-            logs.append(Lattice(part, path).log_total(shared.value))
-        place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
+        for at in range(0, len(cores), LATTICE_WORDS):
+            parts = [segments_of(w) for w in cores[at : at + LATTICE_WORDS]]
+            total = Lattice([x for p in parts for x in p], path).log_total(shared.value)
+            heads = np.cumsum([0, *map(len, parts[:-1])])
+            logs.append(np.add.reduceat(total, heads, axis=0))
+        place.update(zip(cores, range(len(store["logs"]), len(store["logs"]) + len(cores))))
+        place.update([(w, place[core_of(w)]) for w in fresh.difference(cores)])
         table = store["logs"] = np.concatenate(logs)
         names, scores = [], []
         for text, words in zip(texts, lists):
