@@ -16,6 +16,20 @@ def demand(t):
     return D.monthly_demand(product_lines(t))
 
 
+def finished_lines(t):
+    """Order lines with their categories without those of an unfinished last month."""
+    return product_lines(t).where(F.to_date("order_purchase_timestamp") < D.finished_until(t.orders))
+
+
+@query("d30_finished_months", """
+    SELECT product_category_name, make_date(order_year, order_month, 1)::VARCHAR AS "date", count(*) AS "count"
+    FROM unified WHERE product_category_name IS NOT NULL
+                   AND order_purchase_timestamp < (SELECT day FROM finished_until) GROUP BY ALL""")
+def _(t):
+    return D.monthly_demand(finished_lines(t)).select(
+        "product_category_name", F.date_format("date", "yyyy-MM-dd").alias("date"), "count")
+
+
 @query("d01_monthly_demand", """
     SELECT product_category_name, order_year::INT AS order_year, order_month::INT AS order_month, "count",
            strftime("date", '%Y-%m-%d') AS "date" FROM demand""")

@@ -10,6 +10,7 @@ from harborline.operators import quality as Q
 from harborline.operators import series as Z
 
 from .base import query
+from .demand import finished_lines
 from .intake import R, lines, order_lines, product_lines
 from .sellers import rounded, sellers, tiers
 from .series import product_series, series, text
@@ -54,15 +55,14 @@ add_view("product_prof", _profile("product_series"))
 add_view("product_moving", f"SELECT *, {_BOUNDS} FROM ({_moving('product_prof', 6)})")
 add_view("cat_series", """
     SELECT product_category_name AS series, make_date(order_year, order_month, 1) AS "month", CAST(count(*) AS DOUBLE) AS y
-    FROM unified WHERE order_purchase_timestamp < TIMESTAMP '2001-08-01' GROUP BY ALL""")
+    FROM unified WHERE order_purchase_timestamp < (SELECT day FROM finished_until) GROUP BY ALL""")
 add_view("cat_prof", _profile("cat_series"))
 add_view("cat_moving", f"SELECT *, {_BOUNDS} FROM ({_moving('cat_prof', 6)})")
 _MONTH = """strftime("month", '%Y-%m-%d') AS "month" """
 
 
 def category_series(t):
-    full = product_lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
-    return Z.as_series(D.monthly_demand(full), "product_category_name")
+    return Z.as_series(D.monthly_demand(finished_lines(t)), "product_category_name")
 
 
 @query("f15_moving_average", f"""

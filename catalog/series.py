@@ -6,14 +6,14 @@ from harborline.operators import demand as D
 from harborline.operators import series as S
 
 from .base import query
+from .demand import finished_lines
 from .intake import R, order_lines, product_lines
 from .views import add_view
 
 
 def series(t):
     """Demand per sub-category and month without the unfinished last month."""
-    full = product_lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
-    return S.as_series(D.monthly_demand(full, "product_subcategory"), "product_subcategory")
+    return S.as_series(D.monthly_demand(finished_lines(t), "product_subcategory"), "product_subcategory")
 
 
 def product_series(t):
@@ -268,5 +268,4 @@ def _(t):
 
 def category_demand(t):
     """Monthly demand per category without the unfinished last month."""
-    full = product_lines(t).where(F.col("order_purchase_timestamp") < F.lit("2001-08-01").cast("timestamp_ntz"))
-    return D.monthly_demand(full)
+    return D.monthly_demand(finished_lines(t))

@@ -71,11 +71,14 @@ VIEW_SQL = {
         SELECT product_category_name, order_year, order_month, count(*) AS "count", sum(price) AS total_sales,
                make_date(order_year, order_month, 1) AS "date"
         FROM unified WHERE product_category_name IS NOT NULL GROUP BY ALL""",
+    "finished_until": """
+        SELECT CASE WHEN last_day(m) - m < 3 THEN last_day(m) + 1 ELSE CAST(date_trunc('month', m) AS DATE) END AS day
+        FROM (SELECT max(CAST(order_purchase_timestamp AS DATE)) AS m FROM sc_orders)""",
     "series": """
         SELECT product_subcategory AS series, make_date(order_year, order_month, 1) AS "month",
                CAST(count(*) AS DOUBLE) AS y
         FROM unified WHERE product_subcategory IS NOT NULL
-                       AND order_purchase_timestamp < TIMESTAMP '2001-08-01'
+                       AND order_purchase_timestamp < (SELECT day FROM finished_until)
         GROUP BY ALL""",
     "sellers": """
         SELECT seller_id, count(*) AS order_count, avg(processing_time) AS avg_processing_time,

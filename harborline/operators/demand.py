@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
@@ -20,6 +20,18 @@ def monthly_demand(lines: DataFrame, category: str = CATEGORY) -> DataFrame:
     )
 
 
+def finished_until(frame: DataFrame, stamp: str = "order_purchase_timestamp", slack_days: int = 3) -> Column:
+    """First day that belongs to no finished month, as a scalar of one scan of the stamps.
+
+    The last month is finished if stamps reach into its last `slack_days` days; otherwise its own first day is given.
+    Without any stamp the result is NULL.
+    """
+    last = F.max(F.to_date(stamp))
+    end = F.last_day(last)
+    day = F.when(F.datediff(end, last) < slack_days, F.date_add(end, 1)).otherwise(F.trunc(last, "month"))
+    return frame.agg(day.alias("day")).scalar()
+
+
 def monthly_sales(lines: DataFrame, category: str = CATEGORY) -> DataFrame:
     """Line count and sales per category and month."""
     return (

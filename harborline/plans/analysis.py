@@ -1,4 +1,4 @@
-"""The whole analysis as one set of lazy frames, and the dashboard bundle over stored results."""
+"""The whole analysis as one set of frames (building them runs jobs), and the dashboard bundle over stored results."""
 
 from __future__ import annotations
 
@@ -50,11 +50,14 @@ def prepare_lines(
 def analyse(
     tables: Mapping[str, DataFrame], top_n: int = 15, periods: int = 6, repair: bool = True, **grid: int
 ) -> dict[str, DataFrame]:
-    """All result tables from the four input tables."""
-    lines = prepare_lines(tables["orders"], tables["items"], tables["products"], tables["customers"], repair)
+    """All result tables from the four input tables. Order stamps a source lacks are derived; an unfinished last month
+    stays in the demand but is not modelled."""
+    orders = O.synthesize_stamps(tables["orders"])
+    lines = prepare_lines(orders, tables["items"], tables["products"], tables["customers"], repair)
     demand = pinned(D.monthly_demand(lines))
     top = D.top_categories(demand, top_n)
-    chosen = demand.join(top.select(D.CATEGORY), D.CATEGORY, "left_semi")
+    finished = demand.where(F.col("date") < D.finished_until(lines))
+    chosen = finished.join(top.select(D.CATEGORY), D.CATEGORY, "left_semi")
     series = pinned(as_series(chosen, D.CATEGORY))
     forecast = pinned(forecast_all(series, periods, **grid))
     first = forecast.where(F.col("step") == 1)
@@ -80,7 +83,7 @@ def analyse(
         "top_category_by_state": G.top_category_by_state(G.category_by_state(lines), "first"),
         "reorder_recommendations": H.with_priority(recommendations),
         "performance_metrics": performance,
-        "performance_summary": M.performance_summary(lines, tables["orders"], tables["products"], report),
+        "performance_summary": M.performance_summary(lines, orders, tables["products"], report),
         "summary_report": M.summary_report(lines, demand, tiers, recommendations, performance),
     }
 

@@ -5,10 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators import demand as D
+from harborline.operators.demand import finished_until
+from harborline.operators.orders import missing_stamps, synthesize_stamps
 from harborline.plans.analysis import analyse, dashboard
 from harborline.session import scratch_path
 from harborline.sources import runstore as U
 from harborline.sources import schemas
+from harborline.sources.schemas import CSV_NAMES
 from harborline.sources.tables import load_tables, read_table, write_results
 
 
@@ -95,3 +98,27 @@ def test_whole_analysis_and_dashboard(spark, sf_dir):
 def test_growth_of_empty_demand(spark):
     empty = spark.createDataFrame([], "product_category_name string, date date, count int")
     assert D.category_growth(empty).count() == 0 and D.month_changes(empty).count() == 0
+
+
+def test_day_first_stamps_and_absent_columns_are_loaded(spark, tmp_path):
+    (tmp_path / CSV_NAMES["orders"]).write_text(
+        "order_id,customer_id,order_purchase_timestamp\n1,c,25/12/2000 10:30:00\n2,c,03/01/2001 00:00:00\n3,c,2001-02-01 08:00:00\n4,c,\n")
+    orders = load_tables(spark, str(tmp_path))["orders"]
+    assert "order_approved_at" not in orders.columns
+    stamps = {str(r["order_id"]): str(r["order_purchase_timestamp"]) for r in orders.collect()}
+    assert stamps == {"1": "2000-12-25 10:30:00", "2": "2001-01-03 00:00:00", "3": "2001-02-01 08:00:00", "4": "None"}
+    full = synthesize_stamps(orders)
+    assert missing_stamps(full.columns) == []
+    row = full.where("order_id = 1").first()
+    assert 24 <= (row["order_approved_at"] - row["order_purchase_timestamp"]).total_seconds() / 3600 <= 47
+
+
+def test_unfinished_last_month(spark):
+    def until(*days):
+        frame = spark.createDataFrame([(d,) for d in days], "d string").select(F.to_timestamp_ntz("d").alias("s"))
+        return str(frame.select(finished_until(frame, "s").alias("day")).distinct().first()["day"])
+
+    assert until("2001-07-15 00:00:00", "2001-08-01 00:00:00") == "2001-08-01"
+    assert until("2001-08-28 23:00:00") == "2001-08-01"
+    assert until("2001-08-29 00:00:00") == "2001-09-01"
+    assert until("2001-12-31 00:00:00", None) == "2002-01-01"
