@@ -184,7 +184,8 @@ def _(t):
                 "residual", "adjusted")
 
 
-@query("f06_seasonal_pattern")
+@query("f06_seasonal_pattern", f"""
+    SELECT series, phase, round(avg(seasonal), 4) AS seasonal_factor FROM ({_decomposition(False)}) GROUP BY ALL""")
 def _(t):
     return text(S.seasonal_pattern(S.decompose(series(t))))
 
