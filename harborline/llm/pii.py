@@ -23,26 +23,35 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 SECURITY = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\d-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
+# Ten digits with any area and exchange, in parts or plain; plain ones do not touch letters, points or commas.
+PHONE = (r"(?<![\d-])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)"
+         r"|(?<![\w.,-])(?:\+?1[ .-]?)?\d{10}(?![.,]?\w)")
+# Numbers behind + or 00 with a country code, up to a card standing behind.
+CARD_BEHIND = r"[ -](?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+ABROAD = (r"(?<![\w.+-])(?:\+ ?[1-9]|00(?=[1-9]\d{0,2}[ ./(-])[1-9])"
+          rf"(?:(?!{CARD_BEHIND})[ .()/-]{{0,2}}\d){{6,14}}(?!\d)")
+COUNTRY = r"^0*(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
-ANY = "|".join((EMAIL, DATE, ADDRESS, SECURITY, PHONE, CARD))
+ANY = "|".join((EMAIL, DATE, ADDRESS, SECURITY, PHONE, ABROAD, CARD))
 # Days in the 400 years from FIRST_DAY, in two factors.
 FIRST_DAY, DATE_A, DATE_B = "1800-01-01", 189, 773
 
 
-def keyed(key: str, limit: Column | int, *parts: Column) -> Column:
+def keyed(key: Column | str, limit: Column | int, *parts: Column) -> Column:
     """A number below `limit` from SHA-256 of the key and the parts."""
-    text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
+    text = F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), *[p.cast("string") for p in parts])
     digits = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
     return F.pmod(digits, limit if isinstance(limit, Column) else F.lit(limit).cast("long"))
 
 
-def feistel(key: str, kind: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
+def feistel(key: Column | str, kind: str, a: Column, b: Column, size_a: Column | int, size_b: Column | int) -> Column:
     """Permute the pairs (a, b) with a < size_a and b < size_b; gives a struct of both."""
 
+    size_a, size_b = (n if isinstance(n, Column) else F.lit(n).cast("long") for n in (size_a, size_b))
+
     def turn(s: Column, i: Column) -> Column:
-        to_a = F.pmod(s["a"] + keyed(key, size_a, F.lit(kind), i, s["b"]), F.lit(size_a).cast("long"))
-        to_b = F.pmod(s["b"] + keyed(key, size_b, F.lit(kind), i, s["a"]), F.lit(size_b).cast("long"))
+        to_a = F.pmod(s["a"] + keyed(key, size_a, F.lit(kind), i, s["b"]), size_a)
+        to_b = F.pmod(s["b"] + keyed(key, size_b, F.lit(kind), i, s["a"]), size_b)
         return F.when(i % 2 == 0, F.struct(to_a.alias("a"), s["b"].alias("b"))).otherwise(
             F.struct(s["a"].alias("a"), to_b.alias("b")))
 
@@ -139,18 +148,36 @@ def _security(key: str, value: Column) -> Column:
 
 
 def _phone(key: str, value: Column) -> Column:
-    """The last ten digits: area and exchange from 200 to 999, line from 0000."""
+    """The last ten digits: any area, exchange and line."""
 
     def moved(d: Column) -> Column:
         ten = F.right(d, F.lit(10))
-        new = feistel(key, "phone", part(ten, 1, 3) - 200, (part(ten, 4, 3) - 200) * 10_000 + part(ten, 7, 4), 800, 8_000_000)
+        new = feistel(key, "phone", part(ten, 1, 3), part(ten, 4, 7), 1000, 10_000_000)
         return bind_value(new, lambda x: fill(value, F.concat(
-            F.substr(d, F.lit(1), F.length(d) - 10), (x["a"] + 200).cast("string"),
-            (x["b"] + 2_000_000).cast("string"))))
+            F.substr(d, F.lit(1), F.length(d) - 10), F.lpad(x["a"].cast("string"), 3, "0"),
+            F.lpad(x["b"].cast("string"), 7, "0"))))
 
     return bind_value(digits_of(value), moved)
 
 
+def _abroad(key: str, value: Column) -> Column:
+    """The digits behind the country code, which keys them."""
+
+    def moved(d: Column, head: Column) -> Column:
+        code = F.regexp_extract(d, COUNTRY, 1)
+        n = F.length(d) - head
+        high = F.floor(n / 2).cast("int")
+        size = lambda k: F.pow(F.lit(10), k).cast("long")
+        new = feistel(F.concat_ws("|", F.lit(key), code, n), "abroad", F.substr(d, head + 1, high).cast("long"),
+                      F.substr(d, head + high + 1, n - high).cast("long"), size(high), size(n - high))
+        return bind_value(new, lambda x: fill(value, F.concat(
+            F.substr(d, F.lit(1), head), F.lpad(x["a"].cast("string"), high, "0"),
+            F.lpad(x["b"].cast("string"), n - high, "0"))))
+
+    return bind_value(digits_of(value), lambda d: bind_value(
+        F.length(F.regexp_extract(d, COUNTRY, 0)), lambda head: moved(d, head)))
+
+
 def _card(key: str, value: Column) -> Column:
     """All digits but the first; the check digit is made anew, so a valid number becomes a valid one."""
 
@@ -178,7 +205,7 @@ def _card(key: str, value: Column) -> Column:
 
 KINDS: tuple[tuple[str, str, Callable[[str, Column], Column]], ...] = (
     ("email", EMAIL, _email), ("date", DATE, _date), ("address", ADDRESS, _address), ("security", SECURITY, _security),
-    ("phone", PHONE, _phone), ("card", CARD, _card),
+    ("phone", PHONE, _phone), ("abroad", ABROAD, _abroad), ("card", CARD, _card),
 )
 
 

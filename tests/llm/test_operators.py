@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out accuracy, and their defined edge cases."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -389,6 +390,24 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert all(a != b for a, b in zip(values, new)) and all(luhn(x) for x in new[:3])
 
 
+def test_no_phone_survives(spark, docs):
+    forms = ["+1 (017) 555-7713", "+1 (132) 155-1352", "(212) 5550199", "2125550199", "+12125550199", "+44 20 7946 0958",
+             "+49 (0)89/123456", "0033 1 23 45 67 89"]
+    rows = [(i, f"call {v}, or {v}.", None, None, 0) for i, v in enumerate([*forms, "3.1415926535", "abc2125550199"])]
+    got = [r.text for r in pii.pseudonymise_documents(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()]
+    for v, text in zip(forms, got):
+        first, second = text[5:-1].split(", or ")
+        assert first == second != v and re.sub(r"\d", "9", first) == re.sub(r"\d", "9", v)
+    assert [g == r[1] for g, r in zip(got, rows)] == [False] * len(forms) + [True] * 2
+    assert len({re.sub(r"\D", "", g.split(",")[0])[-10:] for g in got[2:5]}) == 1
+    phone = re.compile(r"\+\d \(\d{3}\) \d{3}-\d{4}")
+    old = {r.doc_id: phone.findall(r.text or "") for r in docs.collect()}
+    new = {r.doc_id: (phone.findall(r.text or ""), r.n_values) for r in pii.pseudonymise_documents(docs).collect()}
+    assert any(p[4] in "01" for found in old.values() for p in found)
+    for k, found in old.items():
+        assert len(new[k][0]) == len(found) <= new[k][1] and not set(found) & set(new[k][0])
+
+
 def test_feistel_is_a_permutation(spark):
     frame = spark.range(12 * 35).select(F.floor(F.col("id") / 35).alias("a"), (F.col("id") % 35).alias("b"))
     got = frame.select(pii.feistel("k", "t", F.col("a"), F.col("b"), 12, 35).alias("x")).collect()
