@@ -31,8 +31,13 @@ CARD_BEHIND = r"[ -](?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}
 ABROAD = (r"(?<![\w.+-])(?:\+ ?[1-9]|00(?=[1-9]\d{0,2}[ ./(-])[1-9])"
           rf"(?:(?!{CARD_BEHIND})[ .()/-]{{0,2}}\d){{6,14}}(?!\d)")
 COUNTRY = r"^0*(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
-ANY = "|".join((EMAIL, DATE, ADDRESS, SECURITY, PHONE, ABROAD, CARD))
+# A whole run of digit groups; the cards in it are found by their groups.
+RUN = r"(?<!\d)\d(?:[ -]?\d){12,}+"
+CARD = r"\d(?:[ -]?\d){12,18}"
+OTHER = "|".join((EMAIL, DATE, ADDRESS, SECURITY, PHONE, ABROAD))
+ANY = f"{OTHER}|{RUN}"
+# Most digits of a card, and the usual group lengths; an unbroken card is one group of 13 to 19.
+CARD_DIGITS, CARD_GROUPS = 19, ("4 4 4 4", "4 6 5", "4 6 4", "4 4 4 4 3")
 # Days in the 400 years from FIRST_DAY, in two factors.
 FIRST_DAY, DATE_A, DATE_B = "1800-01-01", 189, 773
 
@@ -205,7 +210,8 @@ def _card(key: str, value: Column) -> Column:
 
 KINDS: tuple[tuple[str, str, Callable[[str, Column], Column]], ...] = (
     ("email", EMAIL, _email), ("date", DATE, _date), ("address", ADDRESS, _address), ("security", SECURITY, _security),
-    ("phone", PHONE, _phone), ("abroad", ABROAD, _abroad), ("card", CARD, _card),
+    ("phone", PHONE, _phone), ("abroad", ABROAD, _abroad),
+    ("card", "<.*>", lambda key, value: _card(key, F.regexp_replace(value, "[<>]", ""))),
 )
 
 
@@ -219,15 +225,84 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return F.coalesce(out, value)
 
 
+def marked(run: Column) -> Column:
+    """A run of digit groups with < and > around every card in it.
+
+    Cards in the usual groups come first. Otherwise the longest valid sequence of whole groups, from the left, that does
+    not reach into a card in the usual groups.
+    """
+
+    def numbers(groups: Column) -> Column:
+        last = F.size(groups) - 1
+
+        def joined(i: Column, k: Column) -> Column:
+            return F.array_join(F.slice(groups, i + 1, k), "")
+
+        def usual(i: Column) -> Column:
+            shape = lambda k: F.array_join(F.transform(F.slice(groups, i + 1, k), lambda g: F.length(g).cast("string")), " ")
+            out = F.when(F.length(F.get(groups, i)).between(13, CARD_DIGITS) & (luhn_sum(F.get(groups, i)) % 10 == 0), 1)
+            for form in CARD_GROUPS:
+                k = F.lit(len(form.split()))
+                out = out.when((shape(k) == form) & (luhn_sum(joined(i, k)) % 10 == 0), k)
+            return out.otherwise(0)
+
+        def any_(i: Column, cards: Column) -> Column:
+            """Number of groups of the longest valid sequence from group i, or NULL."""
+            room = F.least(last - i + 1, F.lit(CARD_DIGITS))
+            free = F.array_position(F.transform(F.slice(cards, i + 1, room), lambda n: n > 0), True)
+            ends = F.sequence(F.when(free > 0, free.cast("int") - 1).otherwise(room), F.lit(1), F.lit(-1))
+            return F.get(F.filter(ends, lambda k: bind_value(joined(i, k), lambda d: (
+                F.length(d).between(13, CARD_DIGITS) & F.coalesce(luhn_sum(d) % 10 == 0, F.lit(False))))), F.lit(0))
+
+        def walk(cards: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                n = F.when(F.get(cards, i) > 0, F.get(cards, i)).otherwise(F.coalesce(any_(i, cards), F.lit(0)))
+                return F.when(i < s["next"], s).otherwise(bind_value(n, lambda k: F.struct(
+                    (i + F.greatest(k, F.lit(1))).alias("next"),
+                    F.when(k > 0, F.concat(s["cards"], F.array(F.struct(i.alias("from"), k.alias("n")))))
+                    .otherwise(s["cards"]).alias("cards"))))
+
+            start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<from:int,n:int>>").alias("cards"))
+            return F.aggregate(F.sequence(F.lit(0), last), start, step)["cards"]
+
+        def write(cards: Column) -> Column:
+            opened = F.transform(cards, lambda c: c["from"])
+            closed = F.transform(cards, lambda c: c["from"] + c["n"] - 1)
+            marks = F.split(F.regexp_replace(run, "[0-9]", ""), "")
+            return F.array_join(F.transform(groups, lambda g, i: F.concat(
+                F.when(F.array_contains(opened, i), "<").otherwise(""), g,
+                F.when(F.array_contains(closed, i), ">").otherwise(""),
+                F.when(i < last, F.get(marks, i)).otherwise(""))), "")
+
+        usuals = F.transform(F.sequence(F.lit(0), last), usual)
+        return bind_value(usuals, lambda cards: bind_value(walk(cards), write))
+
+    return bind_value(F.split(run, "[ -]"), numbers)
+
+
+def values_of(found: Column) -> Column:
+    """What was found, in parts: the cards (in < and >), other values and single characters of a run, else itself."""
+    run = found.rlike(f"^(?:{RUN})$") & ~found.rlike(f"^(?:{OTHER})$")
+    return F.when(run, F.regexp_extract_all(marked(found), F.lit(f"<[^>]*>|{OTHER}|[0-9 -]"), F.lit(0))).otherwise(F.array(found))
+
+
 def pseudonymise(text: Column, key: str = KEY) -> Column:
     """A whole text with every valid personal value replaced. NULL stays NULL, a text without any stays as it is."""
     gaps = F.split(text, ANY, -1)
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    new = F.transform(found, lambda v: pseudonym(v, key))
+    new = F.transform(found, lambda v: F.array_join(F.transform(values_of(v), lambda x: pseudonym(x, key)), ""))
     joined = F.array_join(F.zip_with(gaps, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     return F.when(text.rlike(ANY), joined).otherwise(text)
 
 
+def values_in(text: Column) -> Column:
+    """Number of values found; a run of digits no longer than a card is one at least."""
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    each = F.transform(found, lambda v: F.greatest(
+        F.size(F.filter(values_of(v), lambda x: F.length(x) > 1)), F.when(v.rlike(f"^{CARD}$"), 1).otherwise(0)))
+    return F.when(text.rlike(ANY), F.aggregate(each, F.lit(0), lambda n, k: n + k)).otherwise(0)
+
+
 def pseudonymise_documents(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: str = KEY
 ) -> DataFrame:
@@ -237,7 +312,7 @@ def pseudonymise_documents(
     empty table gives no rows; extra columns are not read.
     """
     text = F.col(text_column)
-    count = F.coalesce(F.regexp_count(text, F.lit(ANY)), F.lit(0))
+    count = F.coalesce(values_in(text), F.lit(0))
     return docs.select(F.col(id_column), pseudonymise(text, key).alias("text"), count.cast("int").alias("n_values"))
 
 
