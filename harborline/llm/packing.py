@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORDS_KEPT, WORDS_AT_ONCE, TEXTS_AT_ONCE = 400_000, 20_000, 256
 # Marks that are cut off a word of letters.
 ENDS = ".,"
-# Branch-and-bound: fillings tried per largest document, and states visited.
-BRANCHES, NODES = 4, 500
+# Branch-and-bound: fillings tried first, and branches and fillings looked at, besides two for each token of the capacity.
+PROMISING, NODES = 4, 500
 ROWS_PER_CELL = 500
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -193,22 +195,86 @@ def best_fit(counts: np.ndarray) -> list[Pattern]:
     return [(kind, n) for group in open_.values() for kind, n in group.items()]
 
 
+def _dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the documents of `other` can be grouped so that each group fits into its own document of `one`."""
+    bins = list(one)
+
+    def place(k: int) -> bool:
+        if k == len(other):
+            return True
+        tried = set()
+        for i, free in enumerate(bins):
+            if free >= other[k] and free not in tried:
+                tried.add(free)
+                bins[i] -= other[k]
+                if place(k + 1):
+                    return True
+                bins[i] += other[k]
+        return False
+
+    return sum(one) >= sum(other) and place(0)
+
+
 def _exact_pairs(counts: np.ndarray, have: np.ndarray, room: int) -> list[tuple[int, int]]:
     """Pairs of lengths that fill the room to the last token, the evenest first."""
     big = have[have * 2 >= room]
     small = room - big
     ok = (counts[small] > 0) & ((big != small) | (counts[big] > 1))
-    return [(int(b), int(room - b)) for b in big[ok][:BRANCHES]]
+    return [(int(b), int(room - b)) for b in big[ok]]
 
 
-def fillings(counts: np.ndarray, room: int, most: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, at most `most`, the most promising first.
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of `room`, lazily: one document, then pairs, triples and more; None for one passed over.
 
-    A document as long as the room dominates every other filling. Otherwise an exact pair, the evenest first since short
-    documents serve best for what is left at the end; otherwise each of the largest lengths that fit, filled up in the
-    same way, so that nothing left would still fit.
+    A document as long as the room dominates every other filling. Exact pairs come before other pairs, the evenest first
+    since short documents serve best for what is left at the end. A filling is passed over if a document left out could
+    take the place of a shorter one in it, or be added, or if one of the fillings before it dominates it.
     """
     have = np.flatnonzero(counts[: room + 1])
+    if not len(have):
+        yield ()
+        return
+    if have[-1] == room:
+        yield (room,)
+        return
+    given = _exact_pairs(counts, have, room)
+    yield from list(given)
+
+    def maximal(filling: tuple[int, ...], spare: int) -> bool:
+        """No document left out fits beside, or in place of a shorter one."""
+        used = Counter(filling)
+        if not spare:
+            return True
+        for s in (0, *used):
+            between = np.flatnonzero(counts[s + 1 : s + spare + 1]) + s + 1
+            if any(counts[x] > used[int(x)] for x in between):
+                return False
+        return True
+
+    def longer(size: int, top: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...] | None]:
+        fit = have[: np.searchsorted(have, min(top, left), side="right")][::-1]
+        fit = [s for s in fit.tolist() if counts[s] > chosen.count(s)]
+        # The last document is the longest that fits: any other would leave it out.
+        if size == 1 and fit:
+            yield (*chosen, fit[0]) if maximal((*chosen, fit[0]), left - fit[0]) else None
+        elif size == 1:
+            yield None
+        else:
+            for s in fit:
+                yield from longer(size - 1, s, left - s, (*chosen, s))
+
+    for size in range(1, room // int(have[0]) + 1):
+        for filling in longer(size, room, room, ()):
+            if filling is None or filling in given or any(_dominates(g, filling) for g in given):
+                yield None
+            else:
+                given.append(filling)
+                yield filling
+
+
+def promising(counts: np.ndarray, room: int, most: int = PROMISING) -> list[tuple[int, ...]]:
+    """At most `most` fillings to begin with: exact pairs, or each of the largest lengths that fit, filled up alike."""
+    have = np.flatnonzero(counts[: room + 1])
     if not len(have):
         return [()]
     if have[-1] == room:
@@ -220,52 +286,72 @@ def fillings(counts: np.ndarray, room: int, most: int = BRANCHES) -> list[tuple[
     for s in have[::-1][:most].tolist():
         using = counts.copy()
         using[s] -= 1
-        out.append((s, *fillings(using, room - s, 1)[0]))
+        out.append((s, *promising(using, room - s, 1)[0]))
     return out
 
 
 def bin_completion(counts: np.ndarray, nodes: int = NODES) -> list[Pattern]:
     """Packing with as few sequences as the search finds; never more than best fit.
 
-    Branch-and-bound around the largest document left: each of its undominated fillings is a branch, applied as often as
-    the lengths allow. A branch ends when its waste exceeds what a better packing than the incumbent may waste. The search
-    starts from best fit and stops at the lower bound or after `nodes` states; the first descent is always finished.
+    Branch-and-bound around the largest document left. A first search takes only promising fillings, each applied as often
+    as the lengths allow, and soon comes down. A second one takes all undominated fillings, made when the search comes back
+    to them, and applies them less often too, down to once. A branch ends when its waste exceeds what a better packing than
+    the incumbent may waste. The search starts from best fit and stops at the lower bound; each of the two also stops after
+    `nodes` + 2 x capacity branches and fillings passed over, and may then miss the optimum.
     """
     counts = counts.astype(np.int64).copy()
     capacity = len(counts) - 1
     best = best_fit(counts)
     used, least = sum(n for _, n in best), lower_bound(counts)
     total = int((counts * np.arange(capacity + 1)).sum())
-    stack: list[tuple[np.ndarray, list[Pattern], int]] = [(counts, [], 0)]
-    seen = 0
-    while stack and used > least:
-        state, chosen, waste = stack.pop()
-        seen += 1
-        if seen > nodes + 2 * capacity:
-            break
-        if waste > (used - 1) * capacity - total:
-            continue
-        left = np.flatnonzero(state)
-        if not len(left):
-            best, used = chosen, sum(n for _, n in chosen)
-            continue
-        top = int(left[-1])
-        options = []
-        state[top] -= 1
-        for filling in fillings(state, capacity - top):
+
+    def branches(state: np.ndarray, every: bool) -> Iterator[tuple[dict[int, int], int] | None]:
+        top = int(np.flatnonzero(state)[-1])
+        beside = state.copy()
+        beside[top] -= 1
+        first = promising(beside, capacity - top)
+        tried: list[tuple[dict[int, int], int]] = []
+        for filling in chain(first, fillings(beside, capacity - top) if every else ()):
+            if filling is None or len(tried) >= len(first) and filling in first:
+                yield None
+                continue
             need: dict[int, int] = {top: 1}
             for s in filling:
                 need[s] = need.get(s, 0) + 1
-            options.append(need)
-        state[top] += 1
-        for need in reversed(options):
-            times = min(int(state[s]) // k for s, k in need.items())
+            tried.append((need, min(int(state[s]) // k for s, k in need.items())))
+            yield tried[-1]
+        for need, times in tried if every else ():
+            while times > 1:
+                times //= 2
+                yield need, times
+
+    for every in (False, True):
+        # A level of the search: its state, the patterns chosen, their waste, and the branches not yet taken.
+        stack: list[tuple[np.ndarray, list[Pattern], int, Iterator]] = [(counts, [], 0, branches(counts, every))] if total else []
+        seen = 0
+        while stack and used > least:
+            state, chosen, waste, rest = stack[-1]
+            step = next(rest, ())
+            if step == ():
+                stack.pop()
+                continue
+            seen += 1
+            if seen > nodes + 2 * capacity:
+                break
+            if step is None:
+                continue
+            need, times = step
+            waste += (capacity - sum(s * k for s, k in need.items())) * times
+            if waste > (used - 1) * capacity - total:
+                continue
             after = state.copy()
             for s, k in need.items():
                 after[s] -= k * times
-            kind = tuple(sorted(need.items(), reverse=True))
-            gap = capacity - sum(s * k for s, k in need.items())
-            stack.append((after, [*chosen, (kind, times)], waste + gap * times))
+            chosen = [*chosen, (tuple(sorted(need.items(), reverse=True)), times)]
+            if after.any():
+                stack.append((after, chosen, waste, branches(after, every)))
+            else:
+                best, used = chosen, sum(n for _, n in chosen)
     return best
 
 

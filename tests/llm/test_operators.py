@@ -363,6 +363,15 @@ def test_bin_completion_is_optimal_on_small_inputs():
         assert placed.tolist() == np.bincount(sizes, minlength=21).tolist()
 
 
+def test_bin_completion_branches_on_triples():
+    sizes = [11, 10, 8, 8, 5, 5, 4, 3, 3, 3]
+    for copies in (1, 2, 5):
+        found = packing.bin_completion(np.bincount(sizes, minlength=21) * copies)
+        assert sum(n for _, n in found) == 3 * copies
+    beside = np.bincount(sizes[1:], minlength=21)
+    assert (3, 3, 3) in list(packing.fillings(beside, 9)) and (5, 4) in list(packing.fillings(beside, 9))
+
+
 # 9 pseudonyms
 
 
