@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, embeddings, fingerprints, html, langid, mixing, packing, pii, sharding, simhash, toxicity
+from . import bpe, embeddings, fingerprints, html, langid, mixing, packing, pii, resampling, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op10_simhash_neardup(t) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@_register
+def op11_importance_resampling(t) -> DataFrame:
+    return resampling.resample(t("documents"), t("benchmark"))
+
+
 @_register
 def op13_byte_bpe(t) -> DataFrame:
     return bpe.encode_documents(t("documents"))
