@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, embeddings, fingerprints, html, langid, mixing, packing, pii, resampling, sharding, simhash, toxicity
+from . import bpe, embeddings, fingerprints, html, langid, mixing, packing, pii, resampling, sharding, simhash, toxicity, trie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op11_importance_resampling(t) -> DataFrame:
     return resampling.resample(t("documents"), t("benchmark"))
 
 
+@_register
+def op12_prefix_trie(t) -> DataFrame:
+    return trie.conversation_trie(t("conversations"))
+
+
 @_register
 def op13_byte_bpe(t) -> DataFrame:
     return bpe.encode_documents(t("documents"))
