@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, embeddings, fingerprints, html, langid, mixing, packing, pii, resampling, sharding, simhash, toxicity, trie
+from . import (bpe, embeddings, fingerprints, html, langid, mixing, oracles, packing, pii, resampling, sharding, simhash,
+               toxicity, trie)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+}
 
 
 def _register(build: Callable[..., DataFrame]):
