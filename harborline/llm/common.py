@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,14 @@ def hidden(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches whose texts in `column` hold at most `most` bytes together, or are one text."""
+    texts = batch.column(column).cast(pa.large_string())
+    upto = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import with_row_number
 from ..session import pinned
-from .common import small_batches
+from .common import byte_slices, small_batches
 
 BUCKETS = 10_000
 # A document needs this many words to be drawn; so many in a hundred of those are.
 LEAST_WORDS, PERCENT = 20, 25
 SALT = "7"
 
+# Text interned at once: its runs take some 40 times as much memory.
+BYTES_AT_ONCE = 2 * 1024 * 1024
+
 # Constants of the public XXH64 algorithm.
 P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -149,7 +152,7 @@ def bucket_counts(texts: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 0, BYTES_AT_ONCE)):
             grams = Grams(batch.column(0))
             total += np.bincount(grams.bucket[grams.taken], grams.count[grams.taken], BUCKETS).astype(np.int64)
         used = np.flatnonzero(total)
@@ -172,7 +175,7 @@ def weigh(docs: DataFrame, gain: np.ndarray) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 1, BYTES_AT_ONCE)):
             grams = Grams(batch.column(1))
             here = gain[grams.bucket[grams.slot]]
             # Whole numbers in doubles: exact up to 2^53.
