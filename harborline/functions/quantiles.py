@@ -1,28 +1,32 @@
 """Exact interpolated quantiles of whole columns or of groups of any size.
 
-Equal values are counted before the first sort. Cut points from a sketch split the distinct values into buckets,
-the counts per bucket say which bucket a wanted rank lies in, and only those buckets are sorted.
+Equal values are counted before the first sort. The counts are summed up along the sorted values range by range, and
+the rows a wanted rank falls on are picked out. Any number of columns, groupings and frames share one such pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import pinned
-from .columns import finite
-from .ranking import bucket_count, cut_points, locate
+from .ranking import with_running_total
+
+Asked = Mapping[str, Mapping[str, float]]
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per key, column and value as (keys, metric, value, n); NULL, NaN and infinite values are left out."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), finite(c).alias("value")) for c in columns])
+    """Rows per key, column (by its number from 0) and value as (keys, metric, value, n); NULL, NaN and infinite values
+    are left out."""
+    def known(c: str) -> str:
+        return f"CASE WHEN abs(CAST(`{c}` AS DOUBLE)) < double('Infinity') THEN CAST(`{c}` AS DOUBLE) END"
+
+    pairs = ", ".join(f"named_struct('metric', {i}, 'value', {known(c)})" for i, c in enumerate(columns))
     return (
-        df.select(*keys, F.explode(pairs).alias("p"))
-        .select(*keys, "p.metric", "p.value")
-        .where(F.col("value").isNotNull())
+        df.select(*keys, F.expr(f"inline(array({pairs}))"))
+        .where("value IS NOT NULL")
         .groupBy(*keys, "metric", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -33,89 +37,76 @@ def recounted(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counts.groupBy(*keys, "metric", "value").agg(F.sum("n").alias("n"))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Mapping[str, Mapping[str, float]],
-    keys: Sequence[str] = (),
-    buckets: int | None = None,
-) -> DataFrame:
-    """One row per key with the asked quantiles, linearly interpolated between neighbouring ranks.
+class Level(NamedTuple):
+    """Value counts under some keys, and the quantiles asked of their columns in order: {column: {output name: share}}."""
 
-    `columns` maps a numeric column to {output name: share}. NULL and NaN values are left out. Without keys the
-    result has one row. The value counts are written once, which is a job of its own.
+    counts: DataFrame
+    asked: Asked
+    keys: Sequence[str] = ()
+
+
+def quantiles_of_levels(levels: Sequence[Level], buckets: int | None = None, rows: int | None = None) -> list[DataFrame]:
+    """The quantiles of several sets of value counts from one sort of them all.
+
+    `rows` bounds the number of all counts, if known. Each result has one row per key of its level, or one row.
     """
-    # Read three times from here on.
-    counts = pinned(value_counts(df, list(columns), keys))
-    return quantiles_of_counts(counts, columns, keys, buckets)
+    stacked = None
+    for i, level in enumerate(levels):
+        own = level.counts.select(
+            F.lit(i).alias("level"), *[F.col(k).alias(f"k{i}_{j}") for j, k in enumerate(level.keys)], "metric", "value", "n")
+        stacked = own if stacked is None else stacked.unionByName(own, allowMissingColumns=True)
+    keys = [c for c in stacked.columns if c not in ("metric", "value", "n")]
+    hits = [f"level = {i} AND ({_hit(level.asked, 'before <= {high} AND upto > {low}')})" for i, level in enumerate(levels)]
+    summed = with_running_total(
+        stacked, [*keys, "metric"], [("value", True)], F.col("n"), "upto", "total", buckets, rows, f"({' OR '.join(hits)})")
+    ranked = summed.withColumn("first", F.expr("upto - n"))
+    return [_picked(ranked.where(f"level = {i}"), level, i) for i, level in enumerate(levels)]
 
 
-def quantiles_of_counts(
-    counts: DataFrame,
-    columns: Mapping[str, Mapping[str, float]],
-    keys: Sequence[str] = (),
-    buckets: int | None = None,
-) -> DataFrame:
-    """`exact_quantiles` over the rows of `value_counts`, which should be cheap to read again."""
-    keys = list(keys)
-    names = list(columns)
-    n = buckets or bucket_count(counts)
-    cuts = counts.agg(
-        F.struct(*[cut_points(F.when(F.col("metric") == c, F.col("value")), n).alias(f"c{i}")
-                   for i, c in enumerate(names)]).alias("s")
-    ).scalar()
-    own_cuts = F.coalesce(*[F.when(F.col("metric") == c, F.col("__cuts")[f"c{i}"]) for i, c in enumerate(names)])
-    marked = counts.withColumn("__cuts", cuts).withColumn("b", locate(F.col("value"), own_cuts)).drop("__cuts")
-
-    group = [*keys, "metric"]
-    in_order = Window.partitionBy(*group).orderBy("b")
-    sizes = (
-        marked.groupBy(*group, "b").agg(F.sum("n").alias("bn"))
-        .withColumn("before", F.sum("bn").over(in_order) - F.col("bn"))
-        .withColumn("total", F.sum("bn").over(Window.partitionBy(*group)))
-    )
+def _ends(share: float) -> dict[str, str]:
+    """The two ranks, from 0, that a quantile lies between."""
+    at = f"(total - 1) * {float(share)!r}D"
+    return {"low": f"floor({at})", "high": f"ceil({at})", "at": at}
 
-    def place(share: float) -> Column:
-        return (F.col("total") - 1) * F.lit(float(share))
-
-    wanted = F.lit(False)
-    for name, asked in columns.items():
-        for share in asked.values():
-            low, high = F.floor(place(share)), F.ceil(place(share))
-            hit = (F.col("before") <= high) & (F.col("before") + F.col("bn") > low)
-            wanted = wanted | ((F.col("metric") == name) & hit)
-    needed = sizes.where(wanted).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("metric").alias("__m"), F.col("b").alias("__b"), "before", "total",
-    )
-    same = (F.col("metric") == F.col("__m")) & (F.col("b") == F.col("__b"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*group, "b").orderBy("value")
-    ranked = (
-        marked.join(needed, same)
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-        .withColumn("first", F.col("upto") - F.col("n"))
-    )
+
+def _hit(asked: Asked, test: str) -> str:
+    """Condition that a row or range holds one of the ranks asked of its metric."""
+    return " OR ".join(f"metric = {j} AND {test.format(**_ends(share))}"
+                       for j, shares in enumerate(asked.values()) for share in shares.values())
+
+
+def _picked(ranked: DataFrame, level: Level, i: int) -> DataFrame:
     outputs = []
-    for name, asked in columns.items():
-        for label, share in asked.items():
-            at = place(share)
+    for j, shares in enumerate(level.asked.values()):
+        for label, share in shares.items():
+            end = _ends(share)
+            below, above = (f"max(CASE WHEN metric = {j} AND first <= {end[k]} AND upto > {end[k]} THEN value END)"
+                            for k in ("low", "high"))
+            part = f"max(CASE WHEN metric = {j} THEN {end['at']} - {end['low']} END)"
+            outputs.append(F.expr(f"{below} + ({above} - {below}) * {part}").alias(label))
+    names = [F.col(f"k{i}_{j}").alias(k) for j, k in enumerate(level.keys)]
+    holds = "(first <= {low} AND upto > {low} OR first <= {high} AND upto > {high})"
+    return ranked.where(_hit(level.asked, holds)).groupBy(*names).agg(*outputs)
+
 
-            def value_at(rank: Column, name: str = name) -> Column:
-                here = (F.col("metric") == name) & (F.col("first") <= rank) & (F.col("upto") > rank)
-                return F.max(F.when(here, F.col("value")))
+def exact_quantiles(
+    df: DataFrame, columns: Asked, keys: Sequence[str] = (), buckets: int | None = None, rows: int | None = None
+) -> DataFrame:
+    """One row per key with the asked quantiles, linearly interpolated between neighbouring ranks.
 
-            low, high = value_at(F.floor(at)), value_at(F.ceil(at))
-            share_over = F.max(F.when(F.col("metric") == name, at - F.floor(at)))
-            outputs.append((low + (high - low) * share_over).alias(label))
-    return ranked.groupBy(*keys).agg(*outputs)
+    `columns` maps a numeric column to {output name: share}. NULL and NaN values are left out. Without keys the
+    result has one row. The sorted value counts are written, which is a job of its own; `rows` bounds the rows of the
+    frame, which are counted otherwise.
+    """
+    bound = None if buckets else len(columns) * (df.count() if rows is None else rows)
+    return quantiles_of_levels([Level(value_counts(df, list(columns), keys), columns, keys)], buckets, bound)[0]
 
 
 def exact_medians(
-    df: DataFrame, columns: Mapping[str, str], keys: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, columns: Mapping[str, str], keys: Sequence[str] = (), buckets: int | None = None, rows: int | None = None
 ) -> DataFrame:
     """`exact_quantiles` at one half; `columns` maps a column to its output name."""
-    return exact_quantiles(df, {c: {out: 0.5} for c, out in columns.items()}, keys, buckets)
+    return exact_quantiles(df, {c: {out: 0.5} for c, out in columns.items()}, keys, buckets, rows)
 
 
 def counted_median(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -126,5 +117,9 @@ def counted_median(df: DataFrame, value: str, name: str, keys: Sequence[str] = (
 
 
 def scalar_struct(df: DataFrame) -> Column:
-    """A frame of at most one row as a scalar struct; NULL when the frame is empty."""
-    return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("s")).scalar()
+    """A frame of at most one row as a struct of literals, NULLs when the frame is empty.
+
+    The row is computed here, once: a subquery would be run again by every plan that the column goes into.
+    """
+    row = df.first()
+    return F.struct(*[F.lit(row and row[f.name]).cast(f.dataType).alias(f.name) for f in df.schema])

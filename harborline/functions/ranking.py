@@ -1,108 +1,94 @@
-"""Exact row numbers and ranks without ever sorting a whole frame, or a whole key, in one task.
+"""Exact row numbers, running totals and ranks without ever holding a frame, or a key, in one task.
 
-A sketch of the order columns gives cut points. The bucket of a row is a pure function of its values:
-the gap between two cuts it falls in, or the cut it is equal to. A value frequent enough to stand at several cuts has a
-bucket of its own, which is divided further by the cuts of the next order column. Each bucket is then sorted on its
-own and shifted by the number of rows in the buckets before it.
+Spark's range partitioner deals the rows out by the key and order columns; every range is sorted by its own task, which
+may spill, and written. A row's place in its range is its number in the written order, so nothing is buffered. What lies
+before a range is a sum over at most MOST_RANGES counts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pinned
-from .columns import bind_value
 
-MIN_BUCKETS, ROWS_PER_BUCKET = 32, 250_000
-SAMPLED_PER_BUCKET = 32
+# One range for so many rows; never more ranges than this, so that what the driver and one task hold stays bounded.
+ROWS_PER_RANGE, MOST_RANGES = 250_000, 4_096
+# monotonically_increasing_id() counts the rows of a partition in its lower bits.
+ROW_BITS = 33
 
 
-def bucket_count(df: DataFrame) -> int:
-    """As many sort buckets as the rows need, whatever their number."""
-    return max(MIN_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+def range_count(rows: int) -> int:
+    """Ranges for a number of rows."""
+    return min(MOST_RANGES, max(1, -(-rows // ROWS_PER_RANGE)))
 
 
-def _cut_table(cuts: Column, buckets: int) -> Column:
-    """The cuts (`fine`), every stride-th of them (`coarse`), and those standing at two places or more (`heavy`)."""
-    stride = max(2, math.isqrt(buckets))
-    return bind_value(cuts, lambda c: bind_value(F.array_distinct(c), lambda fine: F.struct(
-        fine.alias("fine"),
-        F.filter(fine, lambda _, i: i % stride == 0).alias("coarse"),
-        F.array_distinct(F.filter(c, lambda v, i: (i > 0) & (v == F.get(c, F.greatest(i - 1, F.lit(0)))))).alias("heavy"),
-        F.lit(stride).alias("stride"),
-    )))
+def _ordering(order_by: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order_by]
 
 
-def cut_points(value: Column, buckets: int) -> Column:
-    """Aggregate: sorted distinct cut values of a double column, from a mergeable sketch of bounded size.
+def with_sort_bucket(
+    df: DataFrame, order_by: Sequence[tuple[str, bool]], name: str = "__b", buckets: int | None = None,
+    rows: int | None = None, place: str = "__at",
+) -> DataFrame:
+    """Write the frame in order; add the number of a row's range, and its place in the range from 0.
 
-    The result holds all cuts (`fine`), every stride-th of them (`coarse`), and the values standing at two cuts or more
-    (`heavy`): those that fill whole buckets of their own.
+    `buckets` is the number of ranges, `rows` an upper bound of the number of rows if one is known; else they are counted.
+    Rows that differ in an order column can be told apart by the cuts, so a frequent first value fills many ranges.
     """
-    shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    sketch = F.percentile_approx(value, shares, F.lit(10 * buckets))
-    return _cut_table(F.array_sort(F.coalesce(sketch, F.array())), buckets)
+    n = buckets or range_count(df.count() if rows is None else rows)
+    order = _ordering(order_by)
+    # The sample behind the cuts differs from run to run: what reads the ranges twice must read the written ones.
+    placed = pinned(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(
+        place, F.monotonically_increasing_id()))
+    return placed.withColumn(name, F.shiftright(place, ROW_BITS)).withColumn(
+        place, F.col(place).bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
 
 
-def sampled_cuts(value: Column, chosen: Column, buckets: int) -> Column:
-    """Aggregate: the same table for a column of any ordered type, from whole values of the rows `chosen` marks.
-
-    The values are kept as they are, so long texts and large whole numbers are told apart to the last byte.
-    """
-    values = F.array_sort(F.collect_list(F.when(chosen, value)))
-    places = F.sequence(F.lit(1), F.lit(buckets - 1))
-    cuts = bind_value(values, lambda v: F.when(F.size(v) > 0, F.transform(
-        places, lambda i: F.get(v, F.floor(i * F.size(v) / F.lit(buckets)).cast("int")))).otherwise(F.slice(v, 1, 0)))
-    return _cut_table(cuts, buckets)
+def _same(keys: Sequence[str]) -> Column:
+    return F.expr(" AND ".join(["__b = __ob", *[f"`{k}` <=> __k{i}" for i, k in enumerate(keys)]]))
 
 
-def locate(value: Column, cuts: Column) -> Column:
-    """Bucket number: 2i between cut i-1 and cut i, 2i+1 on cut i, -1 for NULL.
+def _spans(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For the keys that stand in several ranges: what lies before each of them, and the key's total.
 
-    The coarse cuts are probed first and then one stretch of the fine ones, so a lookup costs about two square
-    roots of the number of cuts.
+    The ranges follow the keys, so all such keys together stand in at most twice as many places as there are ranges.
     """
-    skipped = F.greatest(F.size(F.filter(cuts["coarse"], lambda c: c < value)) - 1, F.lit(0)) * cuts["stride"]
-    below = bind_value(skipped, lambda s: s + F.size(F.filter(F.slice(cuts["fine"], s + 1, cuts["stride"]),
-                                                       lambda c: c < value)))
-    code = bind_value(below, lambda b: 2 * b + F.coalesce(F.get(cuts["fine"], b) == value, F.lit(False)).cast("int"))
-    return F.when(value.isNull(), F.lit(-1)).otherwise(code)
+    own = "PARTITION BY " + ", ".join(f"`{k}`" for k in keys)
+    spread = sizes.selectExpr(
+        *[f"`{k}` AS __k{i}" for i, k in enumerate(keys)], "__b AS __ob", "__n AS __here", f"count(1) OVER ({own}) AS __places",
+        f"sum(__n) OVER ({own} ORDER BY __b) - __n AS __before", f"sum(__n) OVER ({own}) AS __whole")
+    return F.broadcast(spread.where("__places > 1").drop("__places"))
 
 
-def with_sort_bucket(
-    df: DataFrame, order_by: Sequence[tuple[str, bool]], name: str, buckets: int | None = None
+def with_running_total(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[tuple[str, bool]], weight: Column, name: str, total: str,
+    buckets: int | None = None, rows: int | None = None, wanted: str | None = None,
 ) -> DataFrame:
-    """Add a struct column whose order agrees with the order columns and whose groups are small.
+    """Sum of `weight` per key up to and with the row in the given order, and the key's whole sum.
 
-    `order_by` holds (column, ascending) pairs. Cuts come from a sample of rows taken by a hash of all order columns, so a
-    frequent value stands in it as often as its share. Only rows equal to a cut in one column are divided by the next.
+    A key may hold any share of the rows: it is summed range by range. Of such a key, ranges that do not meet `wanted`, a
+    condition over the sums `before`, `upto` (with the range) and `total`, are left out before their rows are shuffled.
     """
-    n = buckets or bucket_count(df)
-    names = [c for c, _ in order_by]
-    step = max(1, df.count() // (SAMPLED_PER_BUCKET * n))
-    chosen = F.pmod(F.xxhash64(*names), F.lit(step)) == 0
-    cuts = df.agg(
-        F.struct(*[sampled_cuts(F.col(c), chosen, n).alias(f"c{i}") for i, c in enumerate(names)]).alias("s")
-    ).scalar()
-    out = df.withColumn("__cuts", cuts)
-    fields = []
-    single_valued = F.lit(True)
-    for i, (column, ascending) in enumerate(order_by):
-        value = F.col(column)
-        place = F.when(single_valued, locate(value, F.col("__cuts")[f"c{i}"])).otherwise(F.lit(0))
-        fields.append((place if ascending else -place).alias(f"b{i}"))
-        # Only a value that fills buckets of its own is divided further, or the missing values.
-        heavy = value.isNull() | F.coalesce(F.array_contains(F.col("__cuts")[f"c{i}"]["heavy"], value), F.lit(False))
-        single_valued = single_valued & heavy
-    return out.withColumn(name, F.struct(*fields)).drop("__cuts")
-
-
-def _ordering(order_by: Sequence[tuple[str, bool]]) -> list[Column]:
-    return [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order_by]
+    keys = list(keys)
+    n = buckets or range_count(df.count() if rows is None else rows)
+    marked = with_sort_bucket(df, [*[(k, True) for k in keys], *order_by], "__b", n)
+    marked = marked.withColumn("__w", weight)
+    inside = Window.partitionBy(*keys, "__b")
+    upto = F.sum("__w").over(inside.orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if n == 1:
+        # No key stands in two ranges.
+        return marked.select(*df.columns, upto.alias(name), F.sum("__w").over(inside).alias(total))
+    spans = _spans(marked.groupBy(*keys, "__b").agg(F.sum("__w").alias("__n")), keys)
+    placed = marked.join(spans, _same(keys), "left")
+    if wanted:
+        sums = {"before": F.col("__before"), "upto": F.expr("__before + __here"), "total": F.col("__whole")}
+        placed = placed.withColumns(sums).where(f"before IS NULL OR {wanted}").drop(*sums)
+    out = placed.withColumns({"__upto": upto, "__total": F.sum("__w").over(inside)})
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], f"__upto + coalesce(__before, 0L) AS `{name}`",
+                          f"coalesce(__whole, __total) AS `{total}`")
 
 
 def with_row_number(
@@ -112,32 +98,25 @@ def with_row_number(
     partition_by: Sequence[str] = (),
     total: str | None = None,
     buckets: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Row number from 1 per key (or over the frame), as exact as an unpartitioned window.
 
-    The order columns should identify a row; `total` names an extra column with the group's row count. Counting the rows
-    and sampling them are jobs of their own.
+    The order columns should identify a row; `total` names an extra column with the group's row count. Writing the sorted
+    rows is a job of its own, and so is counting them unless `rows` bounds their number.
     """
-    keys = list(partition_by)
-    marked = with_sort_bucket(df, order_by, "__b", buckets)
-    sizes = marked.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    over_buckets = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b")
-    offsets = sizes.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__b").alias("__ob"),
-        (F.sum("__n").over(over_buckets) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(over_buckets.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(
-            "__group_rows"
-        ),
-    )
-    same = F.col("__b") == F.col("__ob")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(*_ordering(order_by))
-    out = marked.join(offsets, same).withColumn(name, F.col("__before") + F.row_number().over(inside))
-    if total:
-        out = out.withColumn(total, F.col("__group_rows"))
-    return out.drop("__b", "__ob", "__before", "__group_rows", *[f"__k{i}" for i in range(len(keys))])
+    columns = [*df.columns, name, *([total] if total else [])]
+    if partition_by:
+        return with_running_total(df, partition_by, order_by, F.lit(1).cast("long"), name, total or "__total", buckets, rows).select(
+            *columns)
+    marked = with_sort_bucket(df, order_by, "__b", buckets, rows)
+    ranges = Window.partitionBy(F.lit(0)).orderBy("__ob")
+    every = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = marked.groupBy(F.col("__b").alias("__ob")).agg(F.count(F.lit(1)).alias("__n")).select(
+        "__ob", (F.sum("__n").over(ranges) - F.col("__n")).alias("__before"), F.sum("__n").over(every).alias("__whole"))
+    out = marked.join(F.broadcast(sizes), F.col("__b") == F.col("__ob"))
+    return out.withColumns({name: F.col("__before") + F.col("__at") + 1, **({total: F.col("__whole")} if total else {})}).select(
+        *columns)
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
@@ -154,25 +133,6 @@ def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int | None = N
         .groupBy("metric", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Read three times from here on.
-    counts = pinned(counts)
-    n = buckets or bucket_count(counts)
-    cuts = counts.agg(
-        F.struct(*[cut_points(F.when(F.col("metric") == c, F.col("value")), n).alias(f"c{i}") for i, c in
-                   enumerate(columns)]).alias("s")
-    ).scalar()
-    chosen = F.coalesce(*[F.when(F.col("metric") == c, F.col("__cuts")[f"c{i}"]) for i, c in enumerate(columns)])
-    marked = counts.withColumn("__cuts", cuts).withColumn("b", locate(F.col("value"), chosen)).drop("__cuts")
-    over = Window.partitionBy("metric").orderBy("b")
-    offsets = (
-        marked.groupBy("metric", "b").agg(F.sum("n").alias("bn"))
-        .withColumn("before", F.sum("bn").over(over) - F.col("bn"))
-        .withColumn("rows", F.sum("bn").over(Window.partitionBy("metric")))
-        .drop("bn")
-    )
-    inside = Window.partitionBy("metric", "b").orderBy("value")
-    return (
-        marked.join(offsets, ["metric", "b"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-        .select("metric", "value", (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("mean_rank"), "rows")
-    )
+    bound = None if buckets else len(columns) * df.count()
+    placed = with_running_total(counts, ["metric"], [("value", True)], F.col("n"), "upto", "rows", buckets, bound)
+    return placed.select("metric", "value", (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("mean_rank"), "rows")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_medians
 from ..functions.ranking import with_row_number
+from ..session import pinned_counted
 from .series import array_median
 
 CHUNK_ROWS = 65_536
@@ -106,7 +107,10 @@ def repair_anomalies(
     around = F.array_compact(F.array(*offsets))
     near = flagged.withColumns(offsets).where("__own").withColumn(
         "__near", F.when(F.col("__odd"), array_median(around)))
-    medians = exact_medians(df, {column: "__key_median"}, keys, buckets)
-    out = _null_safe_join(near, medians, keys)
+    near, rows = pinned_counted(near.select(*df.columns, "__odd", "__near"))
+    # Few keys have an anomaly without a normal value around; only their medians are taken.
+    lone = near.where(F.col("__odd") & F.col("__near").isNull()).select(*keys).distinct()
+    asked = _null_safe_join(near, lone, keys, "left_semi") if keys else near
+    out = _null_safe_join(near, exact_medians(asked, {column: "__key_median"}, keys, buckets, rows), keys)
     value = F.when(F.col("__odd"), F.coalesce("__near", "__key_median")).otherwise(F.col(column))
     return out.withColumn(column, value).select(*df.columns, F.col("__odd").alias("is_anomaly"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
-from ..functions.quantiles import quantiles_of_counts, recounted, scalar_struct, value_counts
-from ..session import pinned
+from ..functions.quantiles import Level, quantiles_of_levels, recounted, scalar_struct, value_counts
+from ..session import pinned_counted
 
 # The last resort when no value of a column is known.
 LAST_RESORT = {"price": 50.0, "shipping_charges": 10.0, "freight_value": 10.0}
@@ -33,19 +33,21 @@ def impute_item_values(
     """
     columns = [c for c in columns if c in items.columns]
     known = repair_money(items, columns)
-    # The lines are counted by product and amount once; all three medians are read off the counts.
-    counts = pinned(value_counts(known, columns, ["product_id"]))
+    # The lines are counted by product and amount once; all three medians are read off one sort of the counts.
+    counts, rows = pinned_counted(value_counts(known, columns, ["product_id"]))
     halves = lambda prefix: {c: {f"{prefix}{c}": 0.5} for c in columns}
-    filled = known.join(quantiles_of_counts(counts, halves("__p_"), ["product_id"], buckets), "product_id", "left")
-    steps = ["__p_"]
+    levels = [Level(recounted(counts), halves("")), Level(counts, halves("__p_"), ["product_id"])]
     if products is not None:
         category = products.select("product_id", F.col("product_category_name").alias("__category"))
-        by_category = pinned(recounted(
-            counts.join(category.where(F.col("__category").isNotNull()), "product_id"), ["__category"]))
-        medians = quantiles_of_counts(by_category, halves("__c_"), ["__category"], buckets)
-        filled = filled.join(category, "product_id", "left").join(medians, "__category", "left")
+        by_category = recounted(
+            counts.join(category.where(F.col("__category").isNotNull()), "product_id"), ["__category"])
+        levels.append(Level(by_category, halves("__c_"), ["__category"]))
+    overall, *medians = quantiles_of_levels(levels, buckets, len(levels) * rows)
+    filled = known.join(medians[0], "product_id", "left")
+    steps = ["__p_"]
+    if products is not None:
+        filled = filled.join(category, "product_id", "left").join(medians[1], "__category", "left")
         steps.append("__c_")
-    overall = quantiles_of_counts(pinned(recounted(counts)), halves(""), (), buckets)
     filled = filled.withColumn("__all", scalar_struct(overall))
     values = {
         c: F.coalesce(F.col(c), *[F.col(s + c) for s in steps], F.col("__all")[c], F.lit(last_resort.get(c, 1.0)))
@@ -59,9 +61,11 @@ def impute_missing_values(
 ) -> DataFrame:
     """The shorter ladder: only NULLs are filled, by the product's median, then the overall one, then 0."""
     columns = [c for c in columns if c in items.columns]
-    counts = pinned(value_counts(items, columns, ["product_id"]))
-    medians = quantiles_of_counts(counts, {c: {f"__p_{c}": 0.5} for c in columns}, ["product_id"], buckets)
-    overall = quantiles_of_counts(pinned(recounted(counts)), {c: {c: 0.5} for c in columns}, (), buckets)
+    counts, rows = pinned_counted(value_counts(items, columns, ["product_id"]))
+    overall, medians = quantiles_of_levels(
+        [Level(recounted(counts), {c: {c: 0.5} for c in columns}),
+         Level(counts, {c: {f"__p_{c}": 0.5} for c in columns}, ["product_id"])],
+        buckets, 2 * rows)
     filled = items.join(medians, "product_id", "left").withColumn("__all", scalar_struct(overall))
     values = {c: F.coalesce(F.col(c), F.col(f"__p_{c}"), F.col("__all")[c], F.lit(0.0)) for c in columns}
     return filled.withColumns(values).select(*items.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, finite, half_up, one_row
 from ..functions.quantiles import exact_medians, exact_quantiles, scalar_struct
 from ..functions.ranking import average_ranks, with_row_number
-from ..session import pinned
+from ..session import pinned, pinned_counted
 
 # Tier codes, 0 is the best.
 TIER_NAMES = {0: "High", 1: "Medium", 2: "Low"}
@@ -43,11 +43,12 @@ def seller_metrics(lines: DataFrame) -> DataFrame:
 
 
 def winsorize(
-    df: DataFrame, column: str, low: float | None = 0.0, high: float | None = 0.99, buckets: int | None = None
+    df: DataFrame, column: str, low: float | None = 0.0, high: float | None = 0.99, buckets: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Hold a column between two of its own quantiles; a side given as None is left open."""
     asked = {k: v for k, v in (("lo", low), ("hi", high)) if v is not None}
-    caps = scalar_struct(exact_quantiles(df, {column: asked}, (), buckets))
+    caps = scalar_struct(exact_quantiles(df, {column: asked}, (), buckets, rows))
     out = df.withColumn("__caps", caps)
     held = clip(column, F.col("__caps")["lo"] if "lo" in asked else None,
                 F.col("__caps")["hi"] if "hi" in asked else None)
@@ -74,27 +75,28 @@ def seller_features(sellers: DataFrame, buckets: int | None = None) -> DataFrame
     percentile, logs of the skewed columns, and the two ratios. The seller frame is written down first, because four
     aggregates read it."""
     numeric = [n for n, t in sellers.dtypes if t in ("int", "bigint", "double", "float") and n != "seller_id"]
-    fixed = pinned(sellers)
-    medians = scalar_struct(exact_medians(fixed, {c: c for c in numeric}, (), buckets))
+    fixed, rows = pinned_counted(sellers)
+    medians = scalar_struct(exact_medians(fixed, {c: c for c in numeric}, (), buckets, rows))
     out = fixed.withColumn("__m", medians)
     out = out.withColumns({c: F.coalesce(finite(c), F.col("__m")[c]) for c in numeric}).drop("__m")
-    out = winsorize(out, "total_sales", None, 0.99, buckets)
+    out = winsorize(out, "total_sales", None, 0.99, buckets, rows)
     out = out.withColumns({
         "log_total_sales": F.log1p("total_sales"), "log_order_count": F.log1p("order_count"),
     })
     if "avg_order_value" not in sellers.columns:
-        out = _ratio_with_median(out, "avg_order_value", F.try_divide("total_sales", "order_count"), buckets)
+        out = _ratio_with_median(out, "avg_order_value", F.try_divide("total_sales", "order_count"), buckets, rows)
     if "on_time_delivery_rate" not in sellers.columns and "on_time_delivery" in sellers.columns:
         out = out.withColumn("on_time_delivery_rate", F.col("on_time_delivery") * 100)
     if "shipping_costs" in sellers.columns:
         ratio = F.try_divide("shipping_costs", "total_sales") * 100
-        out = _ratio_with_median(out, "shipping_ratio", ratio, buckets)
+        out = _ratio_with_median(out, "shipping_ratio", ratio, buckets, rows)
     return out
 
 
-def _ratio_with_median(df: DataFrame, name: str, ratio: Column, buckets: int | None) -> DataFrame:
+def _ratio_with_median(df: DataFrame, name: str, ratio: Column, buckets: int | None, rows: int) -> DataFrame:
     out = df.withColumn(name, finite(ratio))
-    return out.withColumn(name, F.coalesce(F.col(name), exact_medians(out, {name: "m"}, (), buckets).scalar()))
+    middle = scalar_struct(exact_medians(out, {name: "m"}, (), buckets, rows))
+    return out.withColumn(name, F.coalesce(F.col(name), middle["m"]))
 
 
 def feature_names(features: DataFrame) -> list[str]:
@@ -139,8 +141,8 @@ def equal_thirds(scored: DataFrame, score: str = "score", buckets: int | None =
 
     The scored frame is written down first, so that a seller's score is the same wherever the plan reads it.
     """
-    fixed = pinned(scored)
-    ranked = with_row_number(fixed, [(score, True), ("seller_id", True)], "__rn", total="__n", buckets=buckets)
+    fixed, rows = pinned_counted(scored)
+    ranked = with_row_number(fixed, [(score, True), ("seller_id", True)], "__rn", total="__n", buckets=buckets, rows=rows)
     third = F.floor(F.col("__n") / 3)
     code = F.when(F.col("__rn") <= third, 2).when(F.col("__rn") <= 2 * third, 1).otherwise(0)
     return ranked.withColumn("prediction", code).withColumn("performance", tier_name(F.col("prediction"))).drop(
@@ -150,8 +152,8 @@ def equal_thirds(scored: DataFrame, score: str = "score", buckets: int | None =
 
 def quantile_thirds(scored: DataFrame, score: str = "seller_score", buckets: int | None = None) -> DataFrame:
     """Tiers by the score's one-third and two-third quantiles, edges belonging to the lower tier."""
-    fixed = pinned(scored)
-    edges = scalar_struct(exact_quantiles(fixed, {score: {"a": 1 / 3, "b": 2 / 3}}, (), buckets))
+    fixed, rows = pinned_counted(scored)
+    edges = scalar_struct(exact_quantiles(fixed, {score: {"a": 1 / 3, "b": 2 / 3}}, (), buckets, rows))
     code = F.when(F.col(score) <= F.col("__q")["a"], 2).when(F.col(score) <= F.col("__q")["b"], 1).otherwise(0)
     return fixed.withColumn("__q", edges).withColumn("prediction", code).drop("__q")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every analysis relies on. Skewed join keys are split at run time by AQE.
 SCALE_CONF = {
@@ -65,3 +66,10 @@ def pinned(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "pinned")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pinned_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`pinned`, and the number of rows, counted while they are written."""
+    seen = Observation()
+    frame = pinned(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return frame, seen.get["rows"]

@@ -41,14 +41,39 @@ def test_no_python_and_no_product_joins(spark, sf_dir, name):
 
 
 def test_lines_are_not_gathered_in_one_task(spark, sf_dir):
-    """With broadcasts and the one-task path off, only grouped or scalar rows may meet in a single partition."""
+    """Only the sizes of the ranges meet in a single partition; over a key, rows are summed range by range."""
     from harborline.functions.ranking import with_row_number
 
     items = catalog.views.Tables(spark, sf_dir).items
-    ranked = with_row_number(items, [("price", True), ("order_id", True)], "rn", buckets=16)
-    text = plan(ranked, "simple")
-    window = [line for line in text.splitlines() if "Window [row_number()" in line]
-    assert window and all("[__b" in line for line in window)
+    order = [("price", True), ("order_id", True)]
+    text = plan(with_row_number(items, order, "rn", buckets=16), "simple")
+    assert "Window [row_number()" not in text
+    gathered = [line for line in text.splitlines() if "Window [" in line]
+    assert gathered and all("sum(__n" in line for line in gathered)
+    text = plan(with_row_number(items, order, "rn", ["product_id"], buckets=16), "simple")
+    window = [line for line in text.splitlines() if "Window [" in line and "AS __upto" in line]
+    assert window and all("windowspecdefinition(product_id" in line and " __b#" in line for line in window)
+
+
+def test_what_one_task_holds_does_not_follow_the_rows():
+    from harborline.functions import ranking
+
+    assert [ranking.range_count(10**k) for k in (0, 5, 7, 9)] == [1, 1, 40, 4000]
+    assert ranking.range_count(10**15) == ranking.MOST_RANGES
+
+
+@pytest.mark.parametrize("buckets", [16, 4000])
+def test_keys_in_several_ranges_are_few(spark, buckets):
+    """The broadcast sums hold at most two rows for each range, however many keys there are."""
+    from harborline.functions import ranking
+
+    rows = spark.range(40_000).selectExpr("id", "IF(id % 3 = 0, -1, id % 5000) AS k")
+    marked = ranking.with_sort_bucket(rows, [("k", True), ("id", True)], "__b", buckets)
+    spans = ranking._spans(marked.groupBy("k", "__b").agg(F.count("id").alias("__n")), ["k"])
+    assert 0 < spans.count() <= 2 * buckets
+    got = ranking.with_row_number(rows, [("id", True)], "rn", ["k"], "n", buckets)
+    want = got.selectExpr("*", "row_number() OVER (PARTITION BY k ORDER BY id) AS w", "count(1) OVER (PARTITION BY k) AS m")
+    assert want.where("rn <> w OR n <> m").count() == 0 and want.count() == 40_000
 
 
 def test_missing_source_and_csv(spark, tmp_path):
