@@ -116,6 +116,30 @@ def _(t):
     return U.read_inventory(kept, "MEDIUM", "1997")
 
 
+@query("a09_stored_forecasts", """
+    SELECT category, run_id, CAST(n AS BIGINT) AS place, CAST("value" AS DOUBLE) AS forecast_value FROM (
+        SELECT product_category_name AS category, run_id, "count" AS "value",
+               row_number() OVER (PARTITION BY product_category_name, run_id ORDER BY "date") - 1 AS n FROM stored)
+    WHERE category = 'MEDIUM' AND run_id = '1997'""")
+def _(t):
+    points = F.array_sort(F.collect_list(F.struct("date", F.col("count").cast("double").alias("value"))))
+    packed = stored(t).groupBy(F.col("product_category_name").alias("category"), "run_id").agg(
+        F.transform(points, lambda p: p["value"]).alias("forecast_values"), F.max("stored_at").alias("stored_at"))
+    read = U.read_forecasts(U.encode_arrays(packed), "MEDIUM", "1997")
+    return read.select("category", "run_id", F.posexplode("forecast_values").alias("place", "forecast_value")).withColumn(
+        "place", F.col("place").cast("long"))
+
+
+@query("a09_stored_suppliers", """
+    SELECT s_suppkey AS seller_id, CAST(s_suppkey % 3 AS INT) AS prediction, 'r2' AS run_id
+    FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 2 = 0""")
+def _(t):
+    tiers_of = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("seller_id"), (F.col("s_suppkey") % 3).cast("int").alias("prediction"),
+        F.when(F.col("s_suppkey") % 2 == 0, "r2").otherwise("r1").alias("run_id"))
+    return U.read_suppliers(tiers_of, 1, "r2")
+
+
 @query("a09_recent_runs", """
     SELECT run_id, CAST(max(stored_at) AS VARCHAR) AS stored_at FROM (
         SELECT run_id, stored_at + INTERVAL 1 DAY * CAST(run_id AS INT) AS stored_at FROM stored) GROUP BY 1

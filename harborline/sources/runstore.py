@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -12,6 +12,8 @@ from pyspark.sql.utils import AnalysisException
 
 # The five collections of a run.
 COLLECTIONS = ("demand_data", "forecasts", "suppliers", "inventory", "analysis_metadata")
+# Beside them: which runs were stored to the end.
+MARKS = "finished_runs"
 ARRAY_FIELDS = ("forecast_values", "lower_ci", "upper_ci")
 
 
@@ -88,7 +90,12 @@ def partition_folder(run_id: str) -> str:
 
 
 class RunStore:
-    """The five collections below one folder. Reads of one run touch that run's folder only."""
+    """The five collections below one folder. Reads of one run touch that run's folder only.
+
+    A run is stored as a whole by `store_run`: its mark is written after its last collection, and `finished` shows marked
+    runs alone. Writing a collection of a run again replaces what the run holds there, so a repeated attempt leaves one
+    copy. One writer at a time per run.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -100,25 +107,58 @@ class RunStore:
         return f"{self.root}/{collection}"
 
     def store(self, collection: str, df: DataFrame, run_id: str, stored_at: datetime | None = None) -> int:
-        """Append a result under its run; returns the number of rows the run now holds in the collection."""
+        """Put a result under its run, in place of an earlier one of the same run; returns the number of rows there now."""
         partition_folder(run_id)
-        rows = stamped(encode_arrays(df), run_id, stored_at)
-        rows.write.mode("append").partitionBy("run_id").parquet(self.path(collection))
+        if collection in [n for n in COLLECTIONS if self._exists(n)]:
+            self._empty(collection, run_id)
+        self._write(stamped(encode_arrays(df), run_id, stored_at), self.path(collection))
         return self.collection(collection).where(F.col("run_id") == run_id).count()
 
+    def store_run(self, run_id: str, results: Mapping[str, DataFrame], stored_at: datetime | None = None) -> dict[str, int]:
+        """Store the collections of a run and mark it as finished; a run whose mark is missing was broken off."""
+        rows = {name: self.store(name, df, run_id, stored_at) for name, df in results.items()}
+        mark = stamped(self.spark.createDataFrame([(len(rows),)], "collections int"), run_id, stored_at)
+        self._write(mark, f"{self.root}/{MARKS}")
+        return rows
+
+    def finished_runs(self) -> DataFrame:
+        """Run id, number of collections and storing time of every finished run."""
+        if not self._exists(MARKS):
+            return self.spark.createDataFrame([], "collections int, stored_at timestamp, run_id string")
+        return self._read(f"{self.root}/{MARKS}")
+
+    def finished(self, collection: str) -> DataFrame:
+        """A collection without the rows of runs that were broken off."""
+        return self.collection(collection).join(self.finished_runs().select("run_id"), "run_id", "left_semi")
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> None:
+        """Replace the partitions of the runs in `rows` and no others."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+    def _empty(self, collection: str, run_id: str) -> None:
+        """Leave a run's partition without rows, if it has any. The folder is written over, so no file system is asked."""
+        rows = self._read(f"{self.root}/{collection}").where(F.col("run_id") == run_id)
+        if not rows.isEmpty():
+            nothing = self.spark.createDataFrame([], rows.drop("run_id").schema)
+            nothing.write.mode("overwrite").parquet(f"{self.root}/{collection}/{partition_folder(run_id)}")
+
     def collection(self, collection: str) -> DataFrame:
         """A whole collection; run ids stay the text they were stored as, `007` included."""
+        return self._read(self.path(collection))
+
+    def _read(self, path: str) -> DataFrame:
         setting = "spark.sql.sources.partitionColumnTypeInference.enabled"
         before = self.spark.conf.get(setting)
         self.spark.conf.set(setting, "false")
         try:
-            return self.spark.read.parquet(self.path(collection))
+            return self.spark.read.parquet(path)
         finally:
             self.spark.conf.set(setting, before)
 
     def _exists(self, collection: str) -> bool:
         try:
-            self.spark.read.parquet(self.path(collection)).limit(0)
+            self.spark.read.parquet(f"{self.root}/{collection}").limit(0)
         except AnalysisException as error:
             if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return False
@@ -139,15 +179,12 @@ class RunStore:
     def delete_run(self, run_id: str) -> DataFrame:
         """Empty a run's partition in every collection and return the rows removed per collection.
 
-        The counts are taken before anything is removed. Other partitions are left untouched.
+        The counts are taken before anything is removed, and the run's mark goes first. Other partitions are left untouched.
         """
-        folder = partition_folder(run_id)
+        partition_folder(run_id)
         removed = self.spark.createDataFrame(self.counts(run_id).collect(), "collection string, n long")
-        for name in (n for n in COLLECTIONS if self._exists(n)):
-            location = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
-            files = location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            if files.exists(location):
-                files.delete(location, True)
+        for name in (n for n in (MARKS, *COLLECTIONS) if self._exists(n)):
+            self._empty(name, run_id)
         return removed
 
 

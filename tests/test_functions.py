@@ -194,3 +194,25 @@ def test_run_ids_stay_what_they_are(spark, tmp_path):
     for bad in ("", "a/../b", "..", "a\\b"):
         with pytest.raises(ValueError):
             partition_folder(bad)
+
+
+def test_a_run_stored_twice_is_there_once(spark, tmp_path):
+    from harborline.sources.runstore import RunStore
+
+    store = RunStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "category string, value double")
+    for _ in range(2):
+        assert store.store_run("r1", {"inventory": rows, "forecasts": rows}) == {"inventory": 2, "forecasts": 2}
+    assert store.store("inventory", rows.limit(1), "r1") == 1
+    assert store.store("inventory", rows.limit(0), "r1") == 0
+    assert store.store_run("r1", {"inventory": rows})["inventory"] == 2
+    # Broken off between two collections: no mark.
+    store.store("inventory", rows, "r2")
+    assert store.collection("inventory").count() == 4 and store.finished("inventory").count() == 2
+    store.store_run("r2", {"inventory": rows, "forecasts": rows})
+    assert sorted(r["run_id"] for r in store.finished_runs().collect()) == ["r1", "r2"]
+    removed = {r["collection"]: r["n"] for r in store.delete_run("r1").collect()}
+    assert (removed["inventory"], removed["forecasts"], removed["suppliers"]) == (2, 2, 0)
+    assert {r["run_id"] for r in store.finished("inventory").collect()} == {"r2"}
+    assert [r["run_id"] for r in store.finished_runs().collect()] == ["r2"]
+    assert not any("part-" in p.name and p.stat().st_size == 0 for p in tmp_path.rglob("*"))
