@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -15,15 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pinned
-from .common import small_batches
+from .common import byte_slices, small_batches
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-# Words kept with their ids in a Python worker; the store is emptied when full.
-WORDS_KEPT, WORDS_AT_ONCE, TEXTS_AT_ONCE = 400_000, 20_000, 256
-# Marks that are cut off a word of letters.
-ENDS = ".,"
+# Words of so many letters at most are kept with their ids in a Python worker; words encoded, bytes cut at once.
+WORDS_KEPT, LETTERS_KEPT, WORDS_AT_ONCE, BYTES_AT_ONCE = 400_000, 64, 2_000, 4 * 1024 * 1024
 # Branch-and-bound: fillings tried first, and branches and fillings looked at, besides two for each token of the capacity.
 PROMISING, NODES = 4, 500
 ROWS_PER_CELL = 500
@@ -31,12 +29,35 @@ ROWS_PER_CELL = 500
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
+def _space(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    space = (raw == 32) | (raw >= 9) & (raw <= 13)
+    last = len(raw)
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        at = np.flatnonzero(raw == lead)
+        size = 2 if lead == 0xC2 else 3
+        at = at[at + size <= last]
+        b, c = raw[at + 1], raw[at + size - 1]
+        if lead == 0xC2:
+            hit = (b == 0x85) | (b == 0xA0)
+        elif lead == 0xE1:
+            hit = (b == 0x9A) & (c == 0x80)
+        elif lead == 0xE2:
+            hit = (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+        else:
+            hit = (b == 0x80) & (c == 0x80)
+        for k in range(size):
+            space[at[hit] + k] = True
+    return space
+
+
 class WordEncoder:
-    """Token ids of texts as unsigned 32-bit bytes in the machine's (little-endian) order, word by word.
+    """Token ids of texts, word by word.
 
-    The vocabulary never joins text across a single space or line end with non-space on either side: the space starts the
-    next word, the line end is a token of its own. Nor does it join a letter and a full stop or comma. Texts are split
-    there and the ids of each word looked up; a text with other white space beside a split is encoded as a whole.
+    The vocabulary never joins text across certain places, wherever it begins to read: between a character and white space
+    behind it, between an ASCII letter and an ASCII mark or digit behind it, and behind a single line end. Texts are cut
+    there, equal words of a batch are found by a dictionary, and each is encoded once. Ids of short words are kept in two
+    generations: when the younger is full it takes the place of the older, and words that are met move to the younger.
     """
 
     def __init__(self, path: str):
@@ -45,50 +66,89 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.spaced: dict[str, bytes | bool] = {}
-        self.bare: dict[str, bytes | bool] = {}
-        self.line_end, *ends = self._encode(["\n", *ENDS])
-        self.ends = dict(zip(ENDS, ends))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes | bool], words: set[str], lead: str) -> None:
-        """Ids of words behind `lead`; False for one that may not be encoded alone."""
-        known.update(dict.fromkeys(words, False))
-        words = {w for w in words if w and not w[0].isspace() and not w[-1].isspace()}
-        ended = [w for w in words if w[-1] in ENDS and w[:-1].isalpha()]
-        plain = list(words.difference(ended).union([w[:-1] for w in ended if w[:-1] not in known]))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.line_end = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of words: those that white space cannot change are encoded together, a line end between them."""
+        out: list[bytes | None] = [None] * len(words)
+        heads = (w[1:2] if w[0] == " " else w[0] for w in words)
+        plain = [k for k, head in enumerate(heads) if head and not head.isspace()]
         for at in range(0, len(plain), WORDS_AT_ONCE):
             part = plain[at : at + WORDS_AT_ONCE]
-            known.update(zip(part, self._encode([lead + w for w in part])))
-        known.update([(w, known[w[:-1]] + self.ends[w[-1]]) for w in ended])
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            yield from self._some(texts[at : at + TEXTS_AT_ONCE])
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > WORDS_KEPT:
-            self.spaced.clear()
-            self.bare.clear()
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        spaced, bare = self.spaced, self.bare
-        self._learn(bare, {line[0] for lines in split for line in lines if line[0] not in bare}, "")
-        self._learn(spaced, {w for lines in split for line in lines for w in line[1:] if w not in spaced}, " ")
-        out: list[bytes | None] = []
-        for lines in split:
-            ids: list[bytes | bool] = []
-            for line in lines:
-                ids.append(bare[line[0]])
-                ids.extend(map(spaced.__getitem__, line[1:]))
-                ids.append(self.line_end)
-            out.append(None if False in ids else b"".join(ids[:-1]))
-        whole = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = ids
+            ids = self._ids(["\n".join([words[k] for k in part])])[0]
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) != len(part) - 1:
+                continue
+            begin = [0, *(4 * (ends + 1)).tolist()]
+            stop = [*(4 * ends).tolist(), 4 * len(ids)]
+            whole = ids.tobytes()
+            for k, i, j in zip(part, begin, stop):
+                out[k] = whole[i:j]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._ids([words[k] for k in rest])):
+            out[k] = ids.tobytes()
         return out
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        fresh = []
+        for k, ids in enumerate(found):
+            if ids is None:
+                ids = found[k] = old.get(words[k])
+                if ids is None:
+                    fresh.append(k)
+                else:
+                    young[words[k]] = ids
+        for k, ids in zip(fresh, self._encode([words[k] for k in fresh])):
+            found[k] = ids
+            if len(words[k]) <= LETTERS_KEPT:
+                young[words[k]] = ids
+        if len(young) > WORDS_KEPT // 2:
+            self.young, self.old = {}, young
+        return found
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text; NULL is an empty text."""
+        whole = pa.record_batch({"text": texts.cast(pa.large_string()).fill_null("")})
+        for part in byte_slices(whole, 0, BYTES_AT_ONCE):
+            yield from self._some(part.column(0))
+
+    def _some(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        begin = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        low, high = int(begin[0]), int(begin[-1])
+        if low == high:
+            yield from [np.zeros(0, "<u4")] * (len(begin) - 1)
+            return
+        data = texts.buffers()[2].slice(low, high - low)
+        raw = np.frombuffer(data, np.uint8)
+        space = _space(raw)
+        letter = (raw | 32) - np.uint8(97) < 26
+        start = np.zeros(len(raw), dtype=bool)
+        start[(begin - low)[begin < high]] = True
+        start[1:] |= ~space[:-1] & space[1:] | letter[:-1] & ~letter[1:] & (raw[1:] < 128)
+        line = np.flatnonzero(raw[1:-1] == 10) + 1
+        start[line[~space[line - 1] & ~space[line + 1]] + 1] = True
+        cut = np.append(np.flatnonzero(start), len(raw))
+        units = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), data])
+        coded = units.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        known = self._known(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(known), "<u4")
+        each = size[code]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(first[code] - upto[:-1], each) + np.arange(upto[-1])]
+        bounds = upto[np.searchsorted(cut, begin - low)]
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[i:j]
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -111,12 +171,12 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenised_pieces(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY,
-    vocabulary: str = VOCABULARY,
+    vocabulary: str = VOCABULARY, with_ids: bool = True,
 ) -> DataFrame:
     """Token ids of every document with the end id behind, cut into pieces of at most `capacity`.
 
-    Output: the id, `piece`, `start`, `length`, `ids` (little-endian unsigned 32-bit). NULL and empty texts are the end
-    id alone; a repeated row gives its pieces again.
+    Output: the id, `piece`, `start`, `length`, `ids_crc32` and, if asked for, `ids` (little-endian unsigned 32-bit). NULL and
+    empty texts are the end id alone; a repeated row gives its pieces again.
     """
     small_batches(docs.sparkSession)
     end = np.array([END_ID], dtype="<u4").tobytes()
@@ -125,18 +185,20 @@ def tokenised_pieces(
         encode = _encoder(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), encode(texts)):
-                ids += end
-                rows.extend((key, i, s, n, ids[4 * s : 4 * (s + n)]) for i, (s, n) in enumerate(cuts(len(ids) // 4, capacity)))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["id", "piece", "start", "length", "ids"])
+            for key, found in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids = found.tobytes() + end
+                for i, (s, n) in enumerate(cuts(len(ids) // 4, capacity)):
+                    part = ids[4 * s : 4 * (s + n)]
+                    rows.append((key, i, s, n, crc32(part), part)[: 6 if with_ids else 5])
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            names = ["id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_column)
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def lower_bound(counts: np.ndarray) -> int:
@@ -415,6 +477,6 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of length 1. Repeated rows are packed as often as they stand there, NULL ids too. An empty table gives no rows; extra
     columns are not read.
     """
-    pieces = tokenised_pieces(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
-    light = pinned(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    light = pinned(tokenised_pieces(named, with_ids=False))
     return pack(light, ["doc_id", "piece", "start", "ids_crc32"]).withColumnRenamed("doc_id", id_column)

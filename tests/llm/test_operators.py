@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -305,9 +306,23 @@ def test_encoder_is_exact(docs):
     texts = [r.text or "" for r in docs.limit(60).collect()]
     texts += ["", "x", "  two  spaces", "a\n b", "end ", " lead", "tab\t y", "a.\nB c,", "x..\ny", "x.\n\ny", "p\n", "É.\né 12.\n3, ab1.",
               "<|endoftext|> z", "don't won't. it's,\nI'm"]
-    want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    assert list(encode(texts)) == want
-    assert list(encode(texts)) == want
+    rng = np.random.default_rng(4)
+    parts = np.array(["a", "Bc", " ", "  ", "\n", "\n\n", "\t", "'", "s", "'ll", "1", "23", ".", ",", "-", "é", "à", "中", "\u3000", "\xa0",
+                      "\u2003", "\x85", "\x1c", "€", "’", "<|endoftext|>", "word", " word", "\n "])
+    texts += ["".join(rng.choice(parts, rng.integers(60))) for _ in range(3_000)] + ["a" * 50_000, " " * 50_000, "a. " * 20_000]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [ids.tolist() for ids in encode(pa.array(texts))] == want
+    assert [len(ids) for ids in encode(pa.array([None, ""], pa.string()))] == [0, 0]
+
+
+def test_encoder_forgets_and_learns_again(docs, monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 400)
+    texts = pa.array([r.text or "" for r in docs.limit(60).collect()])
+    encode = packing.WordEncoder(packing.VOCABULARY)
+    first = [ids.tolist() for k in range(60) for ids in encode(texts.slice(k, 1))]
+    assert first == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert len(encode.young) <= 200 + max(len(set((t or "").split())) for t in texts.to_pylist()) * 3
 
 
 def check_packing(docs, got, tokenizer):
