@@ -19,7 +19,9 @@ from .common import hidden
 KEY = "pseudonym-key"
 ROUNDS = 8
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Bounds of the mail standard: 64 characters before the @, 63 a label. No pattern here repeats a group without a bound,
+# so that unbroken text of any length neither fills the stack nor is read again from each of its characters.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,32}[A-Za-z]{2,63}"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 SECURITY = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -31,8 +33,8 @@ CARD_BEHIND = r"[ -](?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}
 ABROAD = (r"(?<![\w.+-])(?:\+ ?[1-9]|00(?=[1-9]\d{0,2}[ ./(-])[1-9])"
           rf"(?:(?!{CARD_BEHIND})[ .()/-]{{0,2}}\d){{6,14}}(?!\d)")
 COUNTRY = r"^0*(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-# A whole run of digit groups; the cards in it are found by their groups.
-RUN = r"(?<!\d)\d(?:[ -]?\d){12,}+"
+# A run of digit groups, in parts of 120 digits; the cards in it are found by their groups.
+RUN = r"(?:(?<!\d)|\G)\d(?:[ -]?\d){12,119}+"
 CARD = r"\d(?:[ -]?\d){12,18}"
 OTHER = "|".join((EMAIL, DATE, ADDRESS, SECURITY, PHONE, ABROAD))
 ANY = f"{OTHER}|{RUN}"
@@ -308,7 +310,8 @@ def pseudonymise_documents(
 ) -> DataFrame:
     """The id, `text` with pseudonyms, and `n_values`, the number of values found.
 
-    NULL text stays NULL with 0 values, an empty text stays empty. Repeated rows and NULL ids are rows like any other. An
+    Digits that go on for more than 120, with single blanks or hyphens between, are read in parts; a card across two of
+    them is not found. NULL text stays NULL with 0 values, an empty text stays empty. Repeated rows and NULL ids are rows like any other. An
     empty table gives no rows; extra columns are not read.
     """
     text = F.col(text_column)
