@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,45 +87,41 @@ def _neighbour_means(
     known; the nearest of all groups are then merged. `limit` names a column with a smaller k for some rows.
     """
     number = len(columns)
-    patterns = _patterns(base, columns)
     by = [group] if group else []
-    asked, given = [], []
+    asking: dict[str, list[tuple[int, str]]] = {}
+    giving: dict[str, list[tuple[int, str, str]]] = {}
+    masks = ["".join("1" if known else "0" for known in pattern) for pattern in _patterns(base, columns)]
     for target in range(number):
-        askers = {p for p in patterns if not p[target] and any(p)}
-        givers = {p for p in patterns if p[target]}
-        for asker in askers:
-            for shared in {tuple(a and b for a, b in zip(asker, giver)) for giver in givers}:
-                if not any(shared):
-                    continue
-                tag = F.lit(f"{target}|{''.join('1' if a else '0' for a in asker)}|{''.join('1' if s else '0' for s in shared)}")
-                scale = F.lit(number / sum(shared))
-
-                def coordinates(shared=shared):
-                    return [(F.col(c) if s else F.lit(0.0)).alias(f"x{i}") for i, (c, s) in enumerate(zip(columns, shared))]
-
-                def matches(pattern):
-                    test = F.lit(True)
-                    for c, known in zip(columns, pattern):
-                        test = test & (F.col(c).isNotNull() if known else F.col(c).isNull())
-                    return test
-
-                fits = F.lit(False)
-                for giver in givers:
-                    if tuple(a and b for a, b in zip(asker, giver)) == shared:
-                        fits = fits | matches(giver)
-                asked.append(base.where(matches(asker)).select(
-                    *by, tag.alias("case"), F.concat_ws("|", F.lit(str(target)), "product_id").alias("asker"),
-                    *coordinates()))
-                given.append(base.where(fits).select(
-                    *by, tag.alias("case"), "product_id", F.col(columns[target]).alias("value"), scale.alias("scale"),
-                    *coordinates()))
-    places = [f"x{i}" for i in range(number)]
-    if not asked:
+        givers = [m for m in masks if m[target] == "1"]
+        for asker in (m for m in masks if m[target] == "0" and "1" in m):
+            for giver in givers:
+                shared = "".join("1" if a == b == "1" else "0" for a, b in zip(asker, giver))
+                if "1" in shared:
+                    giving.setdefault(giver, []).append((target, asker, shared))
+                    if (target, shared) not in asking.setdefault(asker, []):
+                        asking[asker].append((target, shared))
+    if not giving:
         kind = base.schema["product_id"].dataType.simpleString()
         return base.sparkSession.createDataFrame([], f"product_id {kind}, dim int, value double")
-    near = nearest_rows(
-        reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, given), "asker", "product_id", places, k,
-        ["value", "scale"], [*by, "case"])
+
+    mask = F.concat(*[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in columns])
+
+    def spread(cases: dict[str, list[tuple[int, str, str]]]) -> DataFrame:
+        """A row per product and case it belongs to, from one scan; there are as many cases as combinations."""
+        of_mask = F.coalesce(*[F.when(mask == m, F.array(*[
+            F.struct(F.lit(t).alias("dim"), F.lit(f"{t}|{a}|{h}").alias("case"), F.lit(h).alias("shared")) for t, a, h in found
+        ])) for m, found in cases.items()])
+        rows = base.select(*base.columns, F.inline(of_mask))
+        places = [F.when(F.substring("shared", i + 1, 1) == "1", F.col(c)).otherwise(0.0).alias(f"x{i}")
+                  for i, c in enumerate(columns)]
+        scale = F.lit(float(number)) / F.length(F.replace("shared", F.lit("0"), F.lit("")))
+        return rows.select(*by, "case", "product_id", "dim", F.get(F.array(*columns), F.col("dim")).alias("value"),
+                           scale.alias("scale"), *places)
+
+    places = [f"x{i}" for i in range(number)]
+    asked = spread({m: [(t, m, shared) for t, shared in found] for m, found in asking.items()}).withColumn(
+        "asker", F.concat_ws("|", "dim", "product_id"))
+    near = nearest_rows(asked, spread(giving), "asker", "product_id", places, k, ["value", "scale"], [*by, "case"])
     apart = F.round(F.col("distance2") * F.col("scale"), 9)
     over_all = Window.partitionBy("query_id").orderBy(apart, "donor_id")
     ranked = near.withColumn("__r", F.row_number().over(over_all))

@@ -93,6 +93,34 @@ def test_nearest_rows_match_brute_force(spark):
         assert out[out.query_id == q.id].sort_values("rank")["donor_id"].tolist() == want
 
 
+def test_a_query_begins_with_few_cells_in_four_dimensions(spark, monkeypatch):
+    from harborline.functions import neighbours
+
+    sizes = []
+    kept = neighbours._starts
+
+    def counted(*parts):
+        starts = neighbours.pinned(kept(*parts))
+        sizes.append(starts.groupBy("query_id").count().agg({"count": "max"}).first()[0])
+        return starts
+
+    monkeypatch.setattr(neighbours, "_starts", counted)
+    rng = np.random.default_rng(8)
+    axes = ["a", "b", "c", "d"]
+    pdf = pd.DataFrame(rng.normal(size=(3000, 4)).round(2), columns=axes).assign(id=np.arange(3000))
+    pdf.loc[:20, axes] += 50
+    asked, given = pdf[pdf.id % 50 == 0], pdf[pdf.id % 50 != 0]
+    out = nearest_rows(spark.createDataFrame(asked), spark.createDataFrame(given), "id", "id", axes, 6, cut_bits=6)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    got = out.toPandas()
+    for q in asked.itertuples():
+        d = ((given[axes].to_numpy() - [q.a, q.b, q.c, q.d]) ** 2).sum(axis=1).round(9)
+        want = given.assign(d=d).sort_values(["d", "id"]).head(6)["id"].tolist()
+        assert got[got.query_id == q.id].sort_values("rank")["donor_id"].tolist() == want
+    assert max(sizes) <= neighbours.FRONTIER
+
+
 def test_nearest_rows_with_few_donors(spark):
     donors = spark.createDataFrame([(1, 0.0), (2, 5.0)], "id int, x double")
     asked = spark.createDataFrame([(9, 4.0)], "id int, x double")

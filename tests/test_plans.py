@@ -33,7 +33,8 @@ def test_filter_reaches_the_scan(spark, sf_dir):
 
 
 @pytest.mark.parametrize("name", ["d01_monthly_demand", "d02_monthly_sales", "d05_seller_metrics", "c01_unified_lines",
-                                  "b07_delivery_days_ladder", "e01_top_category_first", "b02_order_month"])
+                                  "b07_delivery_days_ladder", "e01_top_category_first", "b02_order_month",
+                                  "b15_category_vote", "c06_distance_join", "b16_neighbour_imputation"])
 def test_no_python_and_no_product_joins(spark, sf_dir, name):
     text = plan(catalog.QUERIES[name](spark, sf_dir))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "FlatMapGroupsInPandas"):
@@ -55,6 +56,17 @@ def test_lines_are_not_gathered_in_one_task(spark, sf_dir):
     assert window and all("windowspecdefinition(product_id" in line and " __b#" in line for line in window)
 
 
+def test_neighbour_cases_come_from_one_scan(spark, sf_dir, monkeypatch):
+    """The missing patterns are spread from one scan of the products on either side, not from a branch per case."""
+    from harborline.operators import products
+
+    seen = []
+    monkeypatch.setattr(products, "nearest_rows", lambda asked, given, *rest: seen.extend((asked, given)) or kept(asked, given, *rest))
+    kept = catalog.products.nearest_rows
+    products.impute_by_neighbours(catalog.views.Tables(spark, sf_dir).products_dirty)
+    assert seen and all(plan(frame).count("Location:") == 1 for frame in seen)
+
+
 def test_what_one_task_holds_does_not_follow_the_rows():
     from harborline.functions import ranking
 
