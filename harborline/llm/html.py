@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,19 +13,25 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+START = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+# All up to the end of a tag: a quote opens a value only after an equals sign.
+INSIDE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 # Deeper elements are attached here, as browsers do.
 DEEPEST = 150
+# A table is aligned unless that makes it longer than this many characters and this many times its text.
+PADDED_CHARS, PADDED_TIMES = 100_000, 20
+# Cells span no further than this column; cells beyond it stand alone.
+SPANNED_COLUMNS = 1_000
 
 # Fixed values of the HTML standard: elements without content, with raw content, not rendered, and laid out as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math "
-                   "datalist meta link base param source track textarea select".split())
+                   "datalist meta link base param source track".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
                   "search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -43,27 +51,72 @@ IMPLIED_END = {
 }
 # An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html".split())
+PARAGRAPH_SCOPE = SCOPE | {"button", "object"}
 TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
 HEAD_ONLY = frozenset("title meta link base style script template noscript".split())
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "unseen")
 
-    def __init__(self, name: str, attributes: dict[str, str]):
+    def __init__(self, name: str, attributes: dict[str, str], unseen: bool = False):
         self.name, self.attributes, self.children = name, attributes, []
+        # Inherited visibility, which an element inside can turn on again.
+        styled = VISIBILITY.findall(attributes["style"]) if "style" in attributes else ()
+        self.unseen = styled[-1].lower() != "visible" if styled else unseen
+
+
+def _tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, inside) of all tags, comments (without a name) and declarations, in order.
+
+    Send a position to go on from there. Each character is read a bounded number of times: a value whose quote never
+    closes is met once for each kind of quote, and tags up to it end at their first >. Without a > ahead the rest is text.
+    """
+    at, broken_to = 0, -1
+    last = source.rfind(">")
+    while m := START.search(source, at):
+        if source.startswith("<!--", m.start()):
+            end = source.find("-->", m.start() + 4)
+            found = m.start(), end + 3 if end >= 0 else len(source), "", "", ""
+        elif m[2] is None:
+            end = source.find(">", m.end())
+            found = m.start(), end + 1 if end >= 0 else len(source), "", "", ""
+        elif m.end() > last:
+            at = m.end()
+            continue
+        else:
+            end = len(source)
+            if m.start() >= broken_to:
+                end = INSIDE.match(source, m.end()).end()
+                if source[end : end + 1] != ">":
+                    broken_to, end = end, len(source)
+            if end == len(source):
+                end = source.find(">", m.end())
+            found = m.start(), end + 1, m[1], m[2].lower(), source[m.end() : end]
+        at = (yield found) or found[1]
 
 
 def parse_tree(source: str) -> Node:
-    """Tree of elements and text with implied start and end tags. Any text gives a tree."""
+    """Tree of elements and text with implied start and end tags. Any text gives a tree, in time linear in its length."""
     root = Node("html", {})
     stack = [root]
+    opened = Counter()
     at = 0
 
+    def open_(node: Node) -> None:
+        stack.append(node)
+        opened[node.name] += 1
+
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            opened[stack.pop().name] -= 1
+
     def close(names: set[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
-                del stack[k:]
+                leave(k)
                 return
             if stack[k].name in stop:
                 return
@@ -71,47 +124,56 @@ def parse_tree(source: str) -> Node:
     def add_text(text: str) -> None:
         if text:
             if stack[-1].name == "head" and not text.isspace():
-                stack.pop()
-            stack[-1].children.append(text)
-
-    for m in TOKEN.finditer(source):
-        if m.start() < at:
-            continue
-        add_text(entities.unescape(source[at : m.start()]))
-        at = m.end()
-        name = (m[2] or "").lower()
+                leave(len(stack) - 1)
+            if not stack[-1].unseen:
+                stack[-1].children.append(text)
+
+    tags = _tags(source)
+    tag = next(tags, None)
+    while tag:
+        start, end, slash, name, inside = tag
+        add_text(entities.unescape(source[at:start]))
+        at = end
+        goto = None
         if not name or name == "html":
-            continue
-        if m[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+            pass
+        elif slash:
+            if name == "p" and not opened["p"]:
+                _child(stack[-1], "p", {})
             elif name == "br":
-                stack[-1].children.append(Node("br", {}))
+                _child(stack[-1], "br", {})
             else:
                 close({name}, ({"table", "html"} if name in TABLE_PARTS else SCOPE) - {name})
-            continue
-        if stack[-1].name == "head" and name not in HEAD_ONLY:
-            stack.pop()
-        if name in ENDS_PARAGRAPH:
-            close({"p"}, SCOPE | {"button", "object"})
-        if name in IMPLIED_END:
-            close(*IMPLIED_END[name])
-        if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
-            stack.append(_child(stack[-1], "tr", {}))
-        attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3] or "")} if m[3] else {}
-        node = _child(stack[-1], name, attributes)
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            node.children.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
-        elif name not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+        else:
+            if stack[-1].name == "head" and name not in HEAD_ONLY:
+                leave(len(stack) - 1)
+            if name in ENDS_PARAGRAPH:
+                close({"p"}, PARAGRAPH_SCOPE)
+            if name in IMPLIED_END:
+                close(*IMPLIED_END[name])
+            if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
+                open_(_child(stack[-1], "tr", {}))
+            attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(inside)} if inside else {}
+            node = _child(stack[-1], name, attributes)
+            if name in RAW:
+                ending = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+                goto = source.find(">", ending.end()) + 1 if ending else 0
+                text = source[at : ending.start() if goto else len(source)]
+                if not node.unseen:
+                    node.children.append(entities.unescape(text) if name == "textarea" else text)
+                goto = at = goto or len(source)
+            elif name not in VOID and len(stack) < DEEPEST:
+                open_(node)
+        try:
+            tag = tags.send(goto)
+        except StopIteration:
+            break
     add_text(entities.unescape(source[at:]))
     return root
 
 
 def _child(parent: Node, name: str, attributes: dict[str, str]) -> Node:
-    node = Node(name, attributes)
+    node = Node(name, attributes, parent.unseen)
     parent.children.append(node)
     return node
 
@@ -119,7 +181,7 @@ def _child(parent: Node, name: str, attributes: dict[str, str]) -> Node:
 def visible(node: Node) -> bool:
     a = node.attributes
     return not (node.name in UNSEEN or "hidden" in a or (node.name == "dialog" and "open" not in a)
-                or ("style" in a and UNSEEN_STYLE.search(a["style"])))
+                or ("style" in a and NOT_DISPLAYED.search(a["style"])))
 
 
 class Layout:
@@ -176,6 +238,8 @@ def _lay_out(node: Node, out: Layout, kept: bool = False) -> None:
                 out.flush()
         elif name in ("ul", "ol", "menu", "dir"):
             _list(child, out)
+        elif name == "select":
+            _select(child, out)
         elif name == "table":
             out.space()
             out.put(_table(child))
@@ -184,6 +248,8 @@ def _lay_out(node: Node, out: Layout, kept: bool = False) -> None:
             spaced = name in SPACED
             out.flush()
             out.gap = out.gap or spaced
+            if name == "details" and "open" not in child.attributes:
+                child = _with(child, [x for x in child.children if isinstance(x, Node) and x.name == "summary"][:1])
             if name == "dd":
                 inner = Layout()
                 _lay_out(child, inner)
@@ -225,19 +291,49 @@ def _list(node: Node, out: Layout) -> None:
     out.gap = True
 
 
-def _wrapped(node: Node) -> Node:
-    box = Node("div", {})
-    box.children.append(node)
+def _with(node: Node, children: list[Node | str]) -> Node:
+    box = Node(node.name, {})
+    box.children.extend(children)
     return box
 
 
+def _wrapped(node: Node) -> Node:
+    return _with(Node("div", {}), [node])
+
+
+def _options(node: Node) -> Iterator[Node]:
+    for child in node.children:
+        if isinstance(child, Node) and visible(child):
+            if child.name == "option":
+                yield child
+            else:
+                yield from _options(child)
+
+
+def _select(node: Node, out: Layout) -> None:
+    """A list box shows all options and the labels of its groups, a closed menu the selected option or the first."""
+    if "multiple" in node.attributes or node.attributes.get("size", "1") not in ("", "0", "1"):
+        out.flush()
+        _lay_out(node, out)
+        out.flush()
+        return
+    options = list(_options(node))
+    chosen = [o for o in options if "selected" in o.attributes][-1:] or options[:1]
+    for option in chosen:
+        _lay_out(option, out)
+
+
 def _span(node: Node, name: str) -> int:
     value = node.attributes.get(name, "")
     return min(1000, int(value)) if value.isdigit() and len(value) < 5 and int(value) > 0 else 1
 
 
 def _table(node: Node) -> list[str]:
-    """Rows with cells padded to their columns, two spaces apart; a spanned place is left empty."""
+    """Rows with cells padded to their columns, two spaces apart; a spanned place is left empty.
+
+    Text of the table or of a row outside all cells stands before it. Where one very wide cell would pad many rows, cells
+    stay two spaces apart and are not aligned.
+    """
     before, rows = [], []
 
     def gather(parent: Node) -> None:
@@ -248,6 +344,7 @@ def _table(node: Node) -> list[str]:
             elif child.name in ("thead", "tbody", "tfoot"):
                 gather(child)
             elif child.name == "tr":
+                before.extend(SPACE.sub(" ", c).strip() for c in child.children if isinstance(c, str) and c.strip())
                 rows.append([c for c in child.children if not isinstance(c, str) and visible(c)])
             else:
                 inner = Layout()
@@ -256,30 +353,46 @@ def _table(node: Node) -> list[str]:
                 before.extend(inner.lines)
 
     gather(node)
-    grid: list[list[list[str]]] = []
-    taken: set[tuple[int, int]] = set()
+    # Filled places only: (column, lines) of each row, and the first row below each column that is free again.
+    grid: list[list[tuple[int, list[str]]]] = []
+    free: dict[int, int] = {}
+    width: dict[int, int] = {}
     for r, cells in enumerate(rows):
-        line: list[list[str]] = []
+        line: list[tuple[int, list[str]]] = []
+        column = 0
         for cell in cells:
-            while (r, len(line)) in taken:
-                line.append([])
+            while free.get(column, 0) > r:
+                column += 1
             inner = Layout()
             _lay_out(cell if cell.name in ("td", "th") else _wrapped(cell), inner)
             inner.flush()
-            column = len(line)
-            wide = _span(cell, "colspan")
-            line.append([x for x in inner.lines if x])
-            line.extend([] for _ in range(wide - 1))
-            for below in range(1, min(_span(cell, "rowspan"), len(rows) - r)):
-                taken.update((r + below, column + k) for k in range(wide))
+            lines = [x for x in inner.lines if x]
+            if lines:
+                line.append((column, lines))
+                width[column] = max(width.get(column, 0), *map(len, lines))
+            after = max(column + 1, min(SPANNED_COLUMNS, column + _span(cell, "colspan")))
+            below = r + _span(cell, "rowspan")
+            if below > r + 1 and after <= SPANNED_COLUMNS:
+                free.update((k, below) for k in range(column, after))
+            column = after
         grid.append(line)
-    width = [max((len(x) for line in grid if k < len(line) for x in line[k]), default=0)
-             for k in range(max(map(len, grid), default=0))]
+    starts, total = {}, 0
+    for column in sorted(width):
+        starts[column] = total
+        total += width[column] + 2
+    text = sum(len(x) for line in grid for _, lines in line for x in lines)
+    padded = sum(starts[line[-1][0]] * max(len(lines) for _, lines in line) for line in grid if line)
+    aligned = padded <= max(PADDED_CHARS, PADDED_TIMES * text)
     out = before
     for line in grid:
-        for i in range(max((len(c) for c in line), default=0)):
-            parts = [(c[i] if i < len(c) else "").ljust(width[k]) for k, c in enumerate(line) if width[k]]
-            out.append("  ".join(parts).rstrip())
+        for i in range(max((len(lines) for _, lines in line), default=0)):
+            parts, length = [], 0
+            for column, lines in line:
+                if i < len(lines):
+                    gap = starts[column] - length if aligned else 2 * bool(parts)
+                    parts += [" " * gap, lines[i]]
+                    length += gap + len(lines[i])
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -305,8 +418,10 @@ def rendered(page: Column) -> Column:
 def extract_pages(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """The id and `text` of every page, and `n_chars`, its length.
 
-    NULL pages give NULL text, empty ones and ones without visible text an empty text. Broken markup never fails. Repeated
-    rows and NULL ids are rows like any other. An empty table gives no rows; extra columns are not read.
+    NULL pages give NULL text, empty ones and ones without visible text an empty text. Broken markup never fails and
+    takes time linear in its length. Repeated rows and NULL ids are rows like any other. An empty table gives no rows;
+    extra columns are not read. Visibility comes from elements, attributes and their `style`; rules of style sheets and
+    anything a script would do are out of scope. Closed `details` show their summary, closed menus one option.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_column), rendered(F.col(html_column)).alias("text"))

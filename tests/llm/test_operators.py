@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -127,9 +128,32 @@ def test_page_edges(spark):
     assert html.extract_pages(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<", "<a ", "<a", '<a "', '<a =">"', "<!--", "</script ", "<script>", "a", "&", "<td colspan=999 rowspan=999>"])
+def test_broken_pages_take_linear_time(part):
+    for tail in ("", "='", ">"):
+        start = time.process_time()
+        html.visible_text(part * (1_000_000 // len(part)) + tail)
+        assert time.process_time() - start < 12
+
+
+def test_page_forms_and_visibility():
+    page = ("<table><tr>loose<td>a<td>b</table><textarea>\nhi &amp; <b></textarea><p><select><option>one<option selected>two</select>"
+            "<select multiple><option>p<option>q</select><div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>"
+            "<details><summary>short</summary>long</details><details open><summary>s</summary>body</details>"
+            "<a href=it's>quote</a> <a title='>'>value</a> <a title=\"never closed>text</a>")
+    got = html.visible_text(page).split()
+    assert got == "loose a b hi & <b> two p q yes short s body quote value text".split()
+
+
+def test_wide_cells_do_not_pad_every_row():
+    page = "<table><tr><td>" + "w" * 50_000 + "<td>x" + "<tr><td>a<td>b" * 1_000
+    got = html.visible_text(page)
+    assert len(got) < 100_000 and got.split("\n")[1:] == ["a  b"] * 1_000
+
+
 def test_pages_keep_visible_words(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    got = html.extract_pages(pages).join(pages, "page_id").limit(40).collect()
+    got = html.extract_pages(pages).join(pages, "page_id").collect()
     for r in got:
         assert "track(" not in r.text and "margin:0" not in r.text and "<" not in r.text
         assert (r.text or "").count("\n\n\n") == 0
