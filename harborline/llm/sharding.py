@@ -12,7 +12,7 @@ from .common import cell_of, cells
 
 SHARDS = 40
 OVERHEAD_BYTES = 16
-# A group is cut so that no piece is more than this part of a shard in any dimension.
+# A group that no shard could hold is cut so that no piece is more than this part of a shard in any dimension.
 PIECES_PER_SHARD = 32
 # Items of at least these parts of all the data are placed level by level, the largest first.
 LEVELS = (1 / 4_000, 1 / 400_000)
@@ -61,7 +61,7 @@ def shard_documents(
 
     Output: the id, `size` (UTF-8 bytes plus 16), `tokens` (runs of non-space), `text_crc32`, `law` (always `bytes`),
     `shard`, `slot` (gapless from 0 in every shard), `grown_shard` (NULL under this law). Rows of equal text form a group
-    and stay together unless the group is more than a 32nd of a shard; then ids are hashed into pieces. NULL text is an
+    and stay together unless the group is more than a whole shard in some dimension; then ids are hashed into pieces. NULL text is an
     empty text of size 16, repeated rows are rows like any other, a NULL id counts as an id, an empty table gives no
     rows, and columns other than id and text are not read.
 
@@ -80,10 +80,10 @@ def shard_documents(
     totals = np.array([max(1, x or 0) for x in sums], dtype=float)
     share = F.greatest(
         F.sum("size") / F.lit(totals[0]), F.sum("tokens") / F.lit(totals[1]), F.count(F.lit(1)) / F.lit(totals[2]))
-    # Each hot group holds a fixed part of one of three totals, so there are at most 3 x shards x PIECES_PER_SHARD.
+    # Each hot group holds more than a shard's part of one of three totals, so there are fewer than 3 x shards.
     hot = (
-        light.groupBy(*GROUP).agg(F.ceil(share * shards * PIECES_PER_SHARD).cast("int").alias("pieces"))
-        .where("pieces > 1")
+        light.groupBy(*GROUP).agg((share * shards).alias("load")).where("load > 1")
+        .select(*GROUP, F.ceil(F.col("load") * PIECES_PER_SHARD).cast("int").alias("pieces"))
     )
     light = pinned(light.join(F.broadcast(hot), GROUP, "left").withColumn(
         "piece", F.coalesce(F.pmod(F.xxhash64(F.lit("piece"), "id"), F.col("pieces")), F.lit(0)).cast("long")

@@ -223,6 +223,11 @@ def test_sharding(spark, docs, odd, none):
     assert size.max() / size.min() < 1.01
     cold = big[big.doc_id >= 9000]
     assert (cold.groupby("text_crc32")["shard"].nunique() == 1).all()
+    copies = [(20_000 + i, f"copies {i % 12} " * 30, None, "s", 0) for i in range(12 * 150)]
+    mixed = sharding.shard_documents(spark.createDataFrame(rows + copies, DOCS)).toPandas()
+    size = mixed.groupby("shard")["size"].sum()
+    assert size.max() / size.min() < 1.01
+    assert (mixed[mixed.doc_id >= 9000].groupby("text_crc32")["shard"].nunique() == 1).all()
     check_shards(range(8), sharding.shard_documents(odd).toPandas())
     assert sharding.shard_documents(none).count() == 0
 
