@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pinned
-from .common import small_batches
+from .common import hidden, small_batches
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -246,3 +246,33 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .select(F.col("fp").alias("of_fp"), F.coalesce("component", "id").alias("component_id"))
     )
     return rows.join(classes, rows["fp"] == classes["of_fp"]).select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the row with the smallest id, of equal ids the one whose text
+    hashes lowest, with all its columns.
+
+    Rows count, not ids: unlike texts under one id are judged apart, equal texts under one id leave one row, and a row
+    without an id goes only if another row of its component has one or hashes lower. NULL and empty texts are one
+    component. An empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    key, fp = F.xxhash64(F.col(text_column)), fingerprint(F.col(text_column))
+    rows = pinned(docs.select(F.col(id_column).alias("id"), key.alias("key"), fp.alias("fp")))
+    first = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
+    prints = pinned(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")))
+    found = connected_components(fingerprint_links(prints.select("fp", F.col("fp").alias("id"))))
+    kept = (
+        prints.join(found, prints["fp"] == found["node"], "left")
+        .groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first")).select("first.*")
+    )
+    same = kept.join(rows.withColumnsRenamed({"id": "row_id", "key": "row_key"}),
+                     F.col("id").eqNullSafe(F.col("row_id")) & (F.col("key") == F.col("row_key")))
+    own_id, own_key, copied = hidden(docs, "kept_id"), hidden(docs, "kept_key"), hidden(docs, "kept_copied")
+    chosen = pinned(same.groupBy("id", "key").agg((F.count(F.lit(1)) > 1).alias(copied))
+                    .withColumnsRenamed({"id": own_id, "key": own_key}))
+    keyed = docs.join(chosen, docs[id_column].eqNullSafe(chosen[own_id]) & (key == chosen[own_key]))
+    single = keyed.where(~F.col(copied))
+    if not chosen.where(copied).isEmpty():
+        single = single.unionByName(keyed.where(copied).dropDuplicates([own_id, own_key]))
+    return single.select(*[docs[c] for c in docs.columns])
