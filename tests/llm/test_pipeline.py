@@ -29,3 +29,19 @@ def test_repeated_ids_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(map(str, (r.doc_id for r in got.collect()))) == ["1", "2", "None"]
+
+
+def test_rows_decide_not_ids(spark):
+    one, two = "a b c d e f g h i j", "completely other words stand in this second text"
+    rows = [(1, one), (1, two), (2, two), (3, one), (None, one), (None, "alone and without any id"), (4, None), (5, ""), (2, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS kept_id", "1 AS fp")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(1, one), (1, two), (None, "alone and without any id"), (4, None)], key=str)
+
+
+def test_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
