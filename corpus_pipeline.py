@@ -3,43 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harborline.llm import mixing, packing, pii, simhash, toxicity
-from harborline.llm.common import hidden, small_batches, table
-from harborline.session import configure, pinned, scratch_path
+from harborline.llm.common import small_batches, table
+from harborline.session import configure, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents graded toxic by a model fitted on the labels."""
+    """Without the documents graded toxic by a model fitted on the labels; rows without a text or an id stay."""
     return toxicity.without_toxic(docs, table(small_batches(spark), sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id. Documents without an id stay."""
-    found = simhash.near_duplicates(docs)
-    away = hidden(docs, "away")
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(away)).distinct()
-    kept = docs.join(copies, docs["doc_id"] == copies[away], "left_anti")
-    repeated = pinned(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(
-        F.col("doc_id").alias(hidden(docs, "copy"))))
-    if repeated.isEmpty():
-        return kept
-    same = kept["doc_id"] == repeated[repeated.columns[0]]
-    return kept.join(repeated, same, "left_anti").unionByName(
-        kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each SimHash component, judged by rows: see `simhash.one_of_each_group`."""
+    return simhash.one_of_each_group(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for personal values; NULL and empty texts and repeated rows stay as they are."""
     return pii.with_pseudonyms(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, documents of small sources up to twice."""
+    """Every document at least once, documents of small sources up to twice; a NULL source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places; NULL and empty texts are packed as a separator alone."""
     return packing.pack_documents(docs)
 
 
@@ -56,7 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again."""
+    """All stages over `documents`, each written as Parquet and read again. An empty table gives no rows."""
     configure(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
