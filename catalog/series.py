@@ -211,27 +211,71 @@ def _(t):
     return text(S.stationarity(series(t)))
 
 
-@query("f07_stationarity_augmented")
+# Per series and number of lags: the regression's columns (level, earlier steps, step), centred, on rows from `start` on,
+# their cross products, and those after elimination. The first fit compares lags on equal rows, the second uses all rows.
+_FITS = """SELECT * FROM (
+    WITH RECURSIVE a AS (
+        SELECT series, list(y ORDER BY "month") AS y, count(*) AS n,
+               CAST(greatest(0, least(ceil(12.0E0 * pow(count(*) / 100.0E0, 0.25)), count(*) // 2 - 2)) AS INT) AS most
+        FROM series GROUP BY 1),
+    b AS (SELECT *, list_transform(range(1, n), lambda i: y[i + 1] - y[i]) AS dy FROM a WHERE n >= 4),
+    c AS (SELECT *, unnest(range(0, most + 1)) AS lags FROM b),
+    d AS (SELECT series, lags, most AS start, y, dy FROM c UNION ALL SELECT series, lags, lags, y, dy FROM c WHERE lags <> most),
+    e AS (SELECT series, lags, start, len(dy) - start AS obs, list_concat([y[start + 1 : len(dy)]],
+                 list_transform(range(1, lags + 1), lambda j: dy[start + 1 - j : len(dy) - j]), [dy[start + 1 : len(dy)]]) AS z
+          FROM d WHERE len(dy) - start > lags + 2),
+    g AS (SELECT series, lags, start, obs,
+                 list_transform(z, lambda u: list_transform(z, lambda v:
+                     list_sum(list_transform(list_zip(u, v), lambda p: p[1] * p[2])))) AS g
+          FROM (SELECT * REPLACE (list_transform(z, lambda u: list_transform(u, lambda x: x - list_avg(u))) AS z) FROM e)),
+    s AS (SELECT *, 1 AS k FROM g UNION ALL
+          SELECT series, lags, start, obs, list_transform(range(1, lags + 3), lambda i: list_transform(range(1, lags + 3), lambda j:
+                     CASE WHEN i = k AND j = k THEN 1 / g[k][k] WHEN i = k THEN g[k][j] / g[k][k]
+                          WHEN j = k THEN -g[i][k] / g[k][k] ELSE g[i][j] - g[i][k] * g[k][j] / g[k][k] END)), k + 1
+          FROM s WHERE k <= lags + 1),
+    f AS (SELECT series, lags, start, obs, g[1][lags + 2] AS slope, g[1][1] AS factor, g[lags + 2][lags + 2] AS sse
+          FROM s WHERE k = lags + 2),
+    best AS (SELECT f.series, f.lags FROM f JOIN a ON f.series = a.series AND f.start = a.most
+             QUALIFY row_number() OVER (PARTITION BY f.series ORDER BY obs * ln(sse / obs) + 2 * (f.lags + 2), f.lags) = 1),
+    r AS (SELECT f.*, slope / sqrt(sse / (obs - lags - 2) * factor) AS t FROM f JOIN best USING (series, lags)
+          WHERE f.start = f.lags)"""
+
+
+@query("f07_stationarity_augmented", _FITS + f"""
+    SELECT series, CAST(lags AS INT) AS lags, CAST(obs AS BIGINT) AS observations, round(t, 4) AS statistic,
+           round({_crit('1%')}, 4) AS critical_1, round({_crit('5%')}, 4) AS critical_5,
+           round({_crit('10%')}, 4) AS critical_10, t < {_crit('5%')} AS is_stationary FROM r)""")
 def _(t):
     return text(S.augmented_stationarity(series(t)))
 
 
-@query("f08_plot_acf", """
+_PLOT_ACF = """
     WITH d AS (SELECT s.series, s."month", CASE WHEN slope / (sqrt(sse / (obs - 2)) / sqrt(sxx)) < """ + _crit("5%") + """
                       THEN y ELSE y - lag(y) OVER (PARTITION BY s.series ORDER BY "month") END AS y
                FROM series s JOIN fuller f ON s.series = f.series),
          c AS (SELECT series, y - avg(y) OVER (PARTITION BY series) AS c, count(*) OVER (PARTITION BY series) AS n,
                       row_number() OVER (PARTITION BY series ORDER BY "month") AS pos FROM d WHERE y IS NOT NULL),
          v AS (SELECT series, sum(c * c) AS v FROM c GROUP BY 1)
-    SELECT a.series, a.n, CAST(lag AS INT) AS lag, round(sum(a.c * b.c) / any_value(v.v), 4) AS acf
+    SELECT a.series, a.n, CAST(lag AS INT) AS lag, sum(a.c * b.c) / any_value(v.v) AS acf
     FROM c a CROSS JOIN (SELECT unnest(range(0, 25)) AS lag) l
     JOIN c b ON a.series = b.series AND b.pos = a.pos + l.lag JOIN v ON a.series = v.series
-    WHERE lag <= least(24, a.n // 2 - 1) GROUP BY ALL""")
+    WHERE lag <= least(24, a.n // 2 - 1) GROUP BY ALL"""
+
+
+@query("f08_plot_acf", f"SELECT * REPLACE (round(acf, 4) AS acf) FROM ({_PLOT_ACF})")
 def _(t):
     return text(S.plot_autocorrelations(S.stationary_part(series(t)).drop("is_differenced")))
 
 
-@query("f08_plot_pacf")
+@query("f08_plot_pacf", f"""SELECT * FROM (
+    WITH RECURSIVE r AS (SELECT series, list(acf ORDER BY lag) AS r FROM ({_PLOT_ACF}) GROUP BY 1),
+    w AS (SELECT series, r, 0 AS lag, CAST([] AS DOUBLE[]) AS phi, 1.0E0 AS pacf FROM r UNION ALL
+          SELECT series, r, lag, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda p: p[1] - last * p[2]), last), last
+          FROM (SELECT series, r, lag + 1 AS lag, phi,
+                       (r[lag + 2] - coalesce(list_sum(list_transform(range(1, lag + 1), lambda i: phi[i] * r[lag + 2 - i])), 0))
+                       / (1 - coalesce(list_sum(list_transform(range(1, lag + 1), lambda i: phi[i] * r[i + 1])), 0)) AS last
+                FROM w WHERE lag + 1 < len(r)))
+    SELECT series, lag, round(pacf, 4) AS pacf FROM w)""")
 def _(t):
     acf = S.plot_autocorrelations(S.stationary_part(series(t)).drop("is_differenced"))
     return text(S.partial_autocorrelations(acf))

@@ -7,20 +7,13 @@ result of an aggregation, so a series is never longer than the calendar it cover
 from __future__ import annotations
 
 import math
-import sys
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind_value
 from ..session import pinned
 
-# The regression helpers travel with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 MAX_LAG = 36
 PLOT_LAGS = 24
 DEFAULT_PERIOD = 12
@@ -295,56 +288,100 @@ def stationarity(df: DataFrame) -> DataFrame:
     )
 
 
-def _dickey_fuller(y: np.ndarray) -> tuple[float, int, int]:
-    """Statistic, lags and observations of the augmented test, lags chosen by Akaike's criterion on one sample."""
-    dy = np.diff(y)
-    n = len(dy)
-    most = max(0, min(int(np.ceil(12.0 * (len(y) / 100.0) ** 0.25)), len(y) // 2 - 2))
-
-    def regress(lags: int, start: int):
-        rows = np.arange(start, n)
-        columns = [y[rows], *[dy[rows - j] for j in range(1, lags + 1)], np.ones(len(rows))]
-        x = np.column_stack(columns)
-        target = dy[rows]
-        beta, _, rank, _ = np.linalg.lstsq(x, target, rcond=None)
-        if rank < x.shape[1] or len(rows) <= x.shape[1]:
-            return None
-        sse = float(((target - x @ beta) ** 2).sum())
-        return beta, x, sse, len(rows)
-
-    best, chosen = np.inf, 0
-    for lags in range(most + 1):
-        fit = regress(lags, most)
-        if fit is None or fit[2] <= 0:
-            continue
-        aic = fit[3] * np.log(fit[2] / fit[3]) + 2 * (lags + 2)
-        if aic < best:
-            best, chosen = aic, lags
-    fit = regress(chosen, chosen)
-    if fit is None:
-        return np.nan, chosen, n
-    beta, x, sse, count = fit
-    variance = sse / (count - x.shape[1]) * np.linalg.inv(x.T @ x)[0, 0]
-    return (float(beta[0] / np.sqrt(variance)) if variance > 0 else np.nan), chosen, count
+# A column counts as dependent on those before it when no more than this part of its square sum is left.
+DEPENDENT = 1e-10
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _counted_to(last: Column) -> Column:
+    """The whole numbers from 1 to `last`, none for 0."""
+    return F.slice(F.sequence(F.lit(0), last), F.lit(2), last)
+
+
+def _swept(gram: Column, pivots: Column) -> Column:
+    """Gauss-Jordan steps over the first `pivots` + 1 rows of a square matrix; NULL where a pivot vanishes.
+
+    Of cross products with the target last, they leave the inverse, in the last column the coefficients and in its last
+    place the sum of squared residuals.
+    """
+    def step(m: Column, k: Column) -> Column:
+        row_k, pivot = F.get(m, k), F.get(F.get(m, k), k)
+        swept = F.transform(m, lambda row, i: F.transform(row, lambda v, j: F.when(
+            i == k, F.when(j == k, 1.0 / pivot).otherwise(v / pivot)
+        ).otherwise(F.when(j == k, -F.get(row, k) / pivot).otherwise(v - F.get(row, k) * F.get(row_k, j) / pivot))))
+        return F.when(pivot > DEPENDENT * F.get(F.get(gram, k), k), swept)
+
+    return F.aggregate(F.sequence(F.lit(0), pivots), gram, step)
+
+
+def _regression(y: Column, steps: Column, lags: Column, start: Column) -> Column:
+    """Struct of level coefficient, its factor of the residual variance, squared residuals, rows and lags.
+
+    The step from `start` on is explained by the level before it, `lags` earlier steps and a constant, which centring
+    takes out. NULL where the columns depend on each other or the rows do not exceed the coefficients.
+    """
+    count = F.size(steps) - start
+    part = lambda values, back: F.slice(values, start + 1 - back, count)
+    columns = F.concat(F.array(part(y, F.lit(0))), F.transform(_counted_to(lags), lambda j: part(steps, j)),
+                       F.array(part(steps, F.lit(0))))
+    centred = F.transform(columns, lambda c: bind_value(
+        F.aggregate(c, F.lit(0.0), lambda total, x: total + x) / count, lambda mean: F.transform(c, lambda v: v - mean)))
+    gram = bind_value(centred, lambda z: F.transform(z, lambda a: F.transform(z, lambda b: _dot(a, b))))
+
+    def fitted(g: Column) -> Column:
+        last = lags + 1
+        whole_sum = F.get(F.get(g, last), last)
+
+        def read(m: Column) -> Column:
+            rest = F.get(F.get(m, last), last)
+            return F.when(m.isNotNull(), F.struct(
+                F.get(F.get(m, F.lit(0)), last).alias("slope"), F.get(F.get(m, F.lit(0)), F.lit(0)).alias("factor"),
+                F.when(rest > DEPENDENT * whole_sum, rest).otherwise(F.lit(0.0)).alias("sse"), count.alias("rows"),
+                lags.alias("lags")))
+
+        return bind_value(_swept(g, lags), read)
+
+    return F.when(count > lags + 2, bind_value(gram, fitted))
 
 
 def augmented_stationarity(df: DataFrame) -> DataFrame:
-    """The Dickey-Fuller test with lagged differences, one small numpy regression per series on the executors."""
+    """The Dickey-Fuller test with lagged differences: least squares by expressions over each series' array.
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("month")["y"].dropna().to_numpy(float)
-        statistic, lags, count = _dickey_fuller(y) if len(y) >= 4 else (np.nan, 0, 0)
-        return pd.DataFrame({"series": pdf["series"].iloc[:1], "lags": [lags], "observations": [count],
-                             "statistic": [None if np.isnan(statistic) else statistic]})
+    The number of lags, up to 12 (n / 100)^(1/4), is the one with the least Akaike criterion, all candidates on the same
+    rows; equal ones go to fewer lags. Missing values are left out. A series of fewer than four values, or without a
+    regression, has a NULL statistic.
+    """
+    packed = packed_series(df).select("series", F.filter("y", lambda v: v.isNotNull() & ~F.isnan(v)).alias("y"))
+    n = F.size("y")
+    long = packed.withColumn("n", n).withColumn("y", F.when(F.col("n") >= 4, F.col("y")))
+    most = F.least(F.ceil(12.0 * F.pow(F.col("n") / 100.0, F.lit(0.25))), F.floor(F.col("n") / 2) - 2)
+    ready = long.withColumns({
+        "most": F.greatest(F.lit(0), most).cast("int"),
+        "steps": F.zip_with(F.slice("y", F.lit(2), F.col("n") - 1), F.slice("y", F.lit(1), F.col("n") - 1), lambda b, a: b - a),
+    })
+    y, steps = F.col("y"), F.col("steps")
 
-    kind = df.schema["series"].dataType.simpleString()
-    tested = df.groupBy("series").applyInPandas(test, f"series {kind}, lags int, observations long, statistic double")
+    def scored(lags: Column) -> Column:
+        return bind_value(_regression(y, steps, lags, F.col("most")), lambda fit: F.when(fit["sse"] > 0, F.struct(
+            (fit["rows"] * F.log(fit["sse"] / fit["rows"]) + 2 * (lags + 2)).alias("aic"), lags.alias("lags"))))
+
+    best = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.col("most")), scored), lambda x: x.isNotNull()))
+    chosen = ready.withColumn("lags", F.when(F.col("y").isNotNull(), F.coalesce(best["lags"], F.lit(0))))
+    fit = F.when(F.col("y").isNotNull(), _regression(y, steps, F.col("lags"), F.col("lags")))
+    tested = chosen.withColumn("fit", fit)
+    variance = F.col("fit.sse") / (F.col("fit.rows") - F.col("lags") - 2) * F.col("fit.factor")
     t = F.col("observations")
-    known = F.col("statistic").isNotNull() & ~F.isnan("statistic")
+    known = F.col("statistic").isNotNull()
     return tested.select(
-        "series", "lags", "observations", F.when(known, F.col("statistic")).alias("statistic"),
-        *[F.when(known, critical_value(p, t)).alias(f"critical_{p[:-1]}") for p in CRITICAL_VALUES],
-        F.coalesce(known & (F.col("statistic") < critical_value("5%", t)), F.lit(False)).alias("is_stationary"),
+        "series", F.coalesce("lags", F.lit(0)).alias("lags"),
+        F.coalesce(F.col("fit.rows"), F.size("steps"), F.lit(0)).cast("long").alias("observations"),
+        F.when(variance > 0, F.col("fit.slope") / F.sqrt(variance)).alias("statistic"),
+    ).select(
+        "*", *[F.when(known, critical_value(p, t)).alias(f"critical_{p[:-1]}") for p in CRITICAL_VALUES],
+        F.coalesce(F.col("statistic") < critical_value("5%", t), F.lit(False)).alias("is_stationary"),
     )
 
 
@@ -372,25 +409,26 @@ def plot_autocorrelations(df: DataFrame, max_lag: int = PLOT_LAGS) -> DataFrame:
 
 
 def partial_autocorrelations(acf: DataFrame) -> DataFrame:
-    """Partial autocorrelations by the Durbin-Levinson recursion over the rows of `plot_autocorrelations`."""
-
-    def recurse(pdf: pd.DataFrame) -> pd.DataFrame:
-        rho = pdf.sort_values("lag")["acf"].to_numpy(float)
-        out = np.full(len(rho), np.nan)
-        out[0] = 1.0
-        phi = np.zeros(0)
-        for k in range(1, len(rho)):
-            below = 1.0 - float(phi @ rho[1:k])
-            if not np.isfinite(below) or abs(below) < 1e-12:
-                break
-            last = (rho[k] - float(phi @ rho[1:k][::-1])) / below
-            phi = np.append(phi - last * phi[::-1], last)
-            out[k] = last
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(rho), "lag": np.arange(len(rho)), "pacf": out})
-
-    kind = acf.schema["series"].dataType.simpleString()
-    found = acf.groupBy("series").applyInPandas(recurse, f"series {kind}, lag int, pacf double")
-    return found.withColumn("pacf", F.when(~F.isnan("pacf"), F.col("pacf")))
+    """Partial autocorrelations by the Durbin-Levinson recursion over the rows of `plot_autocorrelations`.
+
+    Lag 0 is 1; from a lag whose denominator vanishes on they are NULL.
+    """
+    sorted_rows = F.array_sort(F.collect_list(F.struct("lag", "acf")))
+    packed = acf.groupBy("series").agg(sorted_rows.alias("p")).select("series", F.transform("p", lambda x: x["acf"]).alias("r"))
+    r = F.col("r")
+
+    def step(state: Column, k: Column) -> Column:
+        before = F.slice(r, F.lit(2), k - 1)
+        below = 1.0 - _dot(state["phi"], before)
+        last = (F.get(r, k) - _dot(state["phi"], F.reverse(before))) / F.when(F.abs(below) >= 1e-12, below)
+        return bind_value(last, lambda x: F.struct(
+            F.concat(F.zip_with(state["phi"], F.reverse(state["phi"]), lambda a, b: a - x * b), F.array(x)).alias("phi"),
+            F.concat(state["pacf"], F.array(x)).alias("pacf")))
+
+    # Cut out of `r`, so that their elements may be NULL like those added later.
+    start = F.struct(F.slice(r, 1, 0).alias("phi"), F.slice(F.concat(F.array(F.lit(1.0)), r), 1, 1).alias("pacf"))
+    values = F.aggregate(_counted_to(F.size(r) - 1), start, step)["pacf"]
+    return packed.select("series", F.posexplode(values).alias("lag", "pacf"))
 
 
 def split_in_time(df: DataFrame, share: float = 0.8, least: int = 0) -> DataFrame:

@@ -272,6 +272,56 @@ def test_constant_series(spark):
     assert Z.decompose(df, multiplicative=True).where("seasonal <> 1").count() == 0
 
 
+def least_squares(y, lags, start):
+    dy = np.diff(y)
+    rows = np.arange(start, len(dy))
+    x = np.column_stack([y[rows], *[dy[rows - j] for j in range(1, lags + 1)], np.ones(len(rows))])
+    if len(rows) <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
+        return None
+    beta = np.linalg.lstsq(x, dy[rows], rcond=None)[0]
+    sse = ((dy[rows] - x @ beta) ** 2).sum()
+    factor = (np.linalg.pinv(x, rcond=1e-14)[0] ** 2).sum()
+    return beta[0] / np.sqrt(sse / (len(rows) - x.shape[1]) * factor), sse, len(rows)
+
+
+def slow_dickey_fuller(y):
+    most = max(0, min(int(np.ceil(12.0 * (len(y) / 100.0) ** 0.25)), len(y) // 2 - 2))
+    scores = {}
+    for lags in range(most + 1):
+        fit = least_squares(y, lags, most)
+        if fit:
+            scores[lags] = fit[2] * np.log(fit[1] / fit[2]) + 2 * (lags + 2)
+    lags = min(scores, key=lambda k: (scores[k], k)) if scores else 0
+    fit = least_squares(y, lags, lags)
+    return lags, fit[2] if fit else len(y) - 1, fit and fit[0]
+
+
+def test_augmented_test_against_least_squares(spark):
+    rng = np.random.default_rng(5)
+    made = {f"s{n}{kind}": values for n in (4, 5, 7, 12, 30, 84) for kind, values in (
+        ("walk", 1000 + rng.normal(size=n).cumsum()), ("noise", 50 + rng.normal(size=n)),
+        ("season", 1e6 + 1e3 * np.sin(np.arange(n) / 2) + rng.normal(size=n)))}
+    got = {r["series"]: r for r in Z.augmented_stationarity(series_frame(spark, *made.items())).collect()}
+    assert set(got) == set(made)
+    for name, y in made.items():
+        lags, count, statistic = slow_dickey_fuller(y)
+        assert (got[name]["lags"], got[name]["observations"]) == (lags, count), name
+        assert (statistic is None) == (got[name]["statistic"] is None), name
+        assert statistic is None or abs(got[name]["statistic"] - statistic) < 1e-6 * max(1, abs(statistic)), name
+
+
+def test_partial_autocorrelation_solves_yule_walker(spark):
+    y = np.random.default_rng(2).normal(size=90).cumsum()
+    acf = Z.plot_autocorrelations(series_frame(spark, ("a", y), ("two", y[:3])))
+    rho = [r["acf"] for r in acf.where("series = 'a'").orderBy("lag").collect()]
+    got = {r["lag"]: r["pacf"] for r in Z.partial_autocorrelations(acf).where("series = 'a'").collect()}
+    assert sorted(got) == list(range(len(rho))) and got[0] == 1.0
+    for k in range(1, len(rho)):
+        table = [[rho[abs(i - j)] for j in range(k)] for i in range(k)]
+        assert abs(np.linalg.solve(table, rho[1:k + 1])[-1] - got[k]) < 1e-8
+    assert Z.partial_autocorrelations(acf).where("series = 'two'").count() == acf.where("series = 'two'").count()
+
+
 def test_forecast_chain_falls_back(spark):
     df = series_frame(spark, ("flat", [7] * 30), ("tiny", [4, 5]), ("live", 50 + np.random.default_rng(0).normal(size=40)))
     out = X.forecast_all(df, 4, max_p=1, max_d=1, max_q=1)
