@@ -240,11 +240,10 @@ add_view("gap_lines", """
     FROM sc_orders_gaps o JOIN sc_items i ON o.order_id = i.order_id
     LEFT JOIN sc_products p ON i.product_id = p.product_id""")
 add_view("gap_days", """
-    SELECT g.*, least(greatest(coalesce(CASE WHEN NOT unknown THEN raw_days END, m.med, a.med), 1.0E0), 30.0E0) AS days
-    FROM gap_lines g
-    LEFT JOIN (SELECT product_category_name AS c, median(raw_days) AS med FROM gap_lines WHERE NOT unknown GROUP BY 1) m
-        ON g.product_category_name = m.c
-    CROSS JOIN (SELECT median(raw_days) AS med FROM gap_lines WHERE NOT unknown) a""")
+    WITH m AS (SELECT product_category_name AS c, median(raw_days) AS med FROM gap_lines WHERE NOT unknown GROUP BY 1),
+         k AS (SELECT g.*, coalesce(CASE WHEN NOT unknown THEN raw_days END, m.med) AS known
+               FROM gap_lines g LEFT JOIN m ON g.product_category_name = m.c)
+    SELECT *, least(greatest(coalesce(known, (SELECT median(known) FROM k)), 1.0E0), 30.0E0) AS days FROM k""")
 
 
 def gap_lines(t):

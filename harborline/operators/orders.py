@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, days_between, whole_days_between
 from ..functions.quantiles import counted_median, scalar_struct
+from ..session import pinned
 
 PURCHASE, APPROVED = "order_purchase_timestamp", "order_approved_at"
 DELIVERED, ESTIMATED = "order_delivered_timestamp", "order_estimated_delivery_date"
@@ -62,18 +63,25 @@ def impute_delivery_days(df: DataFrame, group: str | None = "product_category_na
         F.timestamp_diff("SECOND", F.col(PURCHASE), F.coalesce(F.col(DELIVERED), F.col(ESTIMATED))) / F.lit(86400)
     )
     out = df.withColumn("delivery_days", clip(elapsed, F.lit(1).cast("long"), None))
-    fallback = [F.col("delivery_days").cast("double")]
-    if group:
-        medians = counted_median(out, "delivery_days", "__group_median", [group])
+    if not group:
+        overall = scalar_struct(counted_median(out, "delivery_days", "m"))
+        fallback = [F.col("delivery_days").cast("double")]
+    else:
+        # Both medians follow from the lines per group and day, unknown days included, so the lines are read once for them.
+        counts = pinned(out.groupBy(group, "delivery_days").agg(F.count(F.lit(1)).alias("__n")))
+        known = counts.where("delivery_days IS NOT NULL")
+        # Written, so that its size is known: the lines meet a small side where they are, a large one by a join that
+        # adaptive execution splits.
+        medians = pinned(known.groupBy(group).agg(
+            F.percentile("delivery_days", F.lit(0.5), F.col("__n")).alias("__group_median")))
+        # The overall median counts the rows that the group step has filled.
+        filled = counts.join(medians, group, "left").withColumn(
+            "__known", F.coalesce(F.col("delivery_days").cast("double"), "__group_median"))
+        overall = scalar_struct(filled.agg(F.percentile("__known", F.lit(0.5), F.col("__n")).alias("m")))
         out = out.join(medians, group, "left")
-        fallback.append(F.col("__group_median"))
-    # The overall median is taken over rows still known after the group step; group medians add no new rows when
-    # every group has one, so the known rows decide.
-    known = out.withColumn("__known", F.coalesce(*fallback))
-    overall = scalar_struct(counted_median(known, "__known", "m"))
-    filled = known.withColumn("__all", overall)
-    days = clip(F.coalesce(F.col("__known"), F.col("__all")["m"]), 1.0, 30.0)
-    return filled.withColumn("delivery_days", days).drop("__group_median", "__known", "__all")
+        fallback = [F.col("delivery_days").cast("double"), F.col("__group_median")]
+    days = clip(F.coalesce(*fallback, overall["m"]), 1.0, 30.0)
+    return out.withColumn("delivery_days", days).drop("__group_median")
 
 
 def impute_delivered(df: DataFrame) -> DataFrame:

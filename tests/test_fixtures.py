@@ -272,6 +272,21 @@ def test_constant_series(spark):
     assert Z.decompose(df, multiplicative=True).where("seasonal <> 1").count() == 0
 
 
+def test_overall_median_counts_filled_rows(spark):
+    """Nine lines of ten are of one category; one category has no known day and one line no category."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "big", start + dt.timedelta(days=5)) for i in range(5)] + [(10 + i, "big", None) for i in range(85)]
+    rows += [(200 + i, "small", start + dt.timedelta(days=20)) for i in range(8)] + [(300, "unknown", None), (301, None, None)]
+    df = spark.createDataFrame(
+        [(i, c, start, d, None) for i, c, d in rows],
+        "id int, product_category_name string, order_purchase_timestamp timestamp_ntz, order_delivered_timestamp timestamp_ntz, "
+        "order_estimated_delivery_date timestamp_ntz")
+    got = {r["id"]: r["delivery_days"] for r in O.impute_delivery_days(df).collect()}
+    assert len(got) == 100 and got[300] == got[301] == got[50] == got[0] == 5.0 and got[200] == 20.0
+    alone = {r["id"]: r["delivery_days"] for r in O.impute_delivery_days(df, None).collect()}
+    assert alone[300] == alone[50] == 20.0
+
+
 def least_squares(y, lags, start):
     dy = np.diff(y)
     rows = np.arange(start, len(dy))

@@ -41,6 +41,11 @@ def test_no_python_and_no_product_joins(spark, sf_dir, name):
         assert word not in text, word
 
 
+def test_lines_meet_group_medians_where_they_are(spark, sf_dir):
+    text = plan(catalog.QUERIES["b07_delivery_days_ladder"](spark, sf_dir), "simple")
+    assert "hashpartitioning(product_category_name" not in text
+
+
 def test_lines_are_not_gathered_in_one_task(spark, sf_dir):
     """Only the sizes of the ranges meet in a single partition; over a key, rows are summed range by range."""
     from harborline.functions.ranking import with_row_number
