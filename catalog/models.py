@@ -24,32 +24,111 @@ def features(t):
     return S.seller_features(sellers(t))
 
 
-@query("g02_seller_clusters")
+# Standardised features with the hash that starts the clusters.
+_FEATURES = ("log_order_count", "log_total_sales", "avg_processing_time", "avg_delivery_days", "avg_order_value",
+             "on_time_delivery_rate", "shipping_ratio")
+add_view("scaled", "SELECT seller_id, md5(CAST(seller_id AS VARCHAR)) AS place, ["
+         + ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0)" for c in _FEATURES)
+         + "] AS x FROM feat")
+# Farthest-point starts, then rounds of all k until no centre moves; each k keeps its last round.
+add_view("starts", """
+    WITH RECURSIVE s AS (
+        SELECT 1 AS k, [arg_min(x, place)] AS cs FROM scaled
+        UNION ALL
+        SELECT k + 1, list_append(cs, first(x ORDER BY gap DESC, place))
+        FROM (SELECT s.k, s.cs, z.x, z.place, list_min(list_transform(s.cs, lambda c: list_distance(c, z.x))) AS gap
+              FROM s, scaled z WHERE s.k < least(10, (SELECT count(*) - 1 FROM scaled))) GROUP BY k, cs HAVING max(gap) > 0)
+    SELECT * FROM s WHERE k > 1""")
+_MEANS = ", ".join(f"avg(x[{i}])" for i in range(1, len(_FEATURES) + 1))
+add_view("centres", f"""
+    WITH RECURSIVE l AS (
+        SELECT k, 0 AS turn, cs, 1.0E9 AS moved FROM starts
+        UNION ALL
+        SELECT k, turn + 1, news, list_max(list_transform(range(1, k + 1), lambda i: list_distance(news[i], cs[i])))
+        FROM (SELECT k, turn, cs, list_transform(range(1, k + 1), lambda i: coalesce(m[i], cs[i])) AS news
+              FROM (SELECT k, turn, cs, map_from_entries(list((label, mean))) AS m
+                    FROM (SELECT k, turn, cs, label, [{_MEANS}] AS mean
+                          FROM (SELECT k, turn, cs, x, list_position(gaps, list_min(gaps)) AS label
+                                FROM (SELECT l.k, l.turn, l.cs, z.x,
+                                             list_transform(l.cs, lambda c: list_distance(c, z.x)) AS gaps
+                                      FROM l, scaled z WHERE l.turn < 100 AND l.moved >= 1e-6)) GROUP BY ALL)
+                    GROUP BY k, turn, cs)))
+    SELECT k, arg_max(cs, turn) AS cs FROM l GROUP BY k""")
+add_view("labelled", """
+    SELECT k, seller_id, x, list_position(gaps, list_min(gaps)) AS label
+    FROM (SELECT c.k, z.seller_id, z.x, list_transform(c.cs, lambda m: list_distance(m, z.x)) AS gaps FROM centres c, scaled z)""")
+# The silhouette from all pairs of rows.
+add_view("silhouettes", """
+    SELECT k, avg(CASE WHEN size = 1 OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END) AS silhouette
+    FROM (SELECT k, seller_id, coalesce(max(total / nullif(n - 1, 0)) FILTER (mine), 0) AS own,
+                 min(total / n) FILTER (NOT mine) AS other, max(n) FILTER (mine) AS size
+          FROM (SELECT a.k, a.seller_id, b.label, b.label = a.label AS mine, sum(list_distance(a.x, b.x) ** 2) AS total, count(*) AS n
+                FROM labelled a JOIN labelled b USING (k) GROUP BY ALL) GROUP BY ALL) GROUP BY k""")
+
+
+@query("g02_seller_clusters", """
+    SELECT seller_id, CAST(label - 1 AS INT) AS cluster, round(silhouette, 4) AS silhouette
+    FROM labelled JOIN silhouettes USING (k) WHERE k = 3""")
 def _(t):
     f = features(t)
     labelled, _, silhouette = C.cluster_sellers(f, S.feature_names(f), 3)
     return labelled.select("seller_id", "cluster", F.round(F.lit(silhouette), 4).alias("silhouette"))
 
 
-@query("g03_cluster_count")
+@query("g03_cluster_count", """
+    SELECT CAST(k AS INT) AS k, round(silhouette, 4) AS silhouette,
+           row_number() OVER (ORDER BY silhouette DESC, k) = 1 AS best FROM silhouettes""")
 def _(t):
     f = features(t)
     return rounded(C.silhouette_by_k(f, S.feature_names(f)))
 
 
-@query("g04_cluster_centres")
+@query("g04_cluster_centres", "SELECT CAST(label - 1 AS INT) AS cluster, "
+       + ", ".join(f"round(avg({c}), 4) AS {c}" for c in _FEATURES)
+       + " FROM feat JOIN labelled USING (seller_id) WHERE k = 3 GROUP BY 1")
 def _(t):
     f = features(t)
     return rounded(C.cluster_sellers(f, S.feature_names(f), 3)[1])
 
 
-@query("g09_principal_axes")
+# Axes by squaring the covariance matrix until one direction is left; the second after taking the first out.
+_TIMES = "list_transform({0}, lambda r: list_transform({0}, lambda s: list_dot_product(r, s)))"
+_TRACE = "list_sum(list_transform(range(1, 8), lambda i: {0}[i][i]))"
+
+
+def _axis(matrix: str) -> str:
+    return f"""
+    WITH RECURSIVE p AS (
+        SELECT 0 AS turn, c AS whole, c FROM ({matrix}) UNION ALL
+        SELECT turn + 1, whole, list_transform(c2, lambda r: list_transform(r, lambda v: v / trace))
+        FROM (SELECT turn, whole, c2, {_TRACE.format('c2')} AS trace
+              FROM (SELECT turn, whole, {_TIMES.format('c')} AS c2 FROM p WHERE turn < 40))),
+    v AS (SELECT whole, list_max(list_transform(c, lambda r: list_dot_product(r, r))) AS top, c FROM p WHERE turn = 40),
+    u AS (SELECT whole, list_filter(c, lambda r: list_dot_product(r, r) = top)[1] AS r FROM v),
+    n AS (SELECT whole, list_transform(r, lambda a: a / sqrt(list_dot_product(r, r))
+                                       * CASE WHEN list_max(r) >= -list_min(r) THEN 1 ELSE -1 END) AS axis FROM u)
+    SELECT whole, axis, list_sum(list_transform(whole, lambda r: list_dot_product(r, axis) ** 2)) ** 0.5 AS variance FROM n"""
+
+
+add_view("covariances", "SELECT [" + ", ".join(
+    "[" + ", ".join(f"covar_samp(x[{i}], x[{j}])" for j in range(1, 8)) + "]" for i in range(1, 8)) + "] AS c FROM scaled")
+add_view("axis1", _axis("SELECT c FROM covariances"))
+add_view("axis2", _axis("""SELECT list_transform(whole, lambda r, i: list_transform(r, lambda v, j:
+    v - variance * axis[i] * axis[j])) AS c FROM axis1"""))
+
+
+@query("g09_principal_axes", f"""
+    SELECT f.feature, round(a.axis[f.i], 4) AS pc1, round(b.axis[f.i], 4) AS pc2,
+           round(a.variance / {_TRACE.format('a.whole')}, 4) AS variance1, round(b.variance / {_TRACE.format('a.whole')}, 4) AS variance2
+    FROM axis1 a JOIN axis2 b ON true, (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(_FEATURES, 1))}) f(feature, i)""")
 def _(t):
     f = features(t)
     return rounded(C.principal_axes(f, S.feature_names(f))[1])
 
 
-@query("g09_principal_points")
+@query("g09_principal_points", """
+    SELECT seller_id, round(list_dot_product(x, a.axis), 4) AS pc1, round(list_dot_product(x, b.axis), 4) AS pc2
+    FROM scaled JOIN axis1 a ON true JOIN axis2 b ON true""")
 def _(t):
     f = features(t)
     return rounded(C.principal_axes(f, S.feature_names(f))[0].select("seller_id", "pc1", "pc2"))
