@@ -109,7 +109,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """At most LABELLED_ROWS labelled texts as `text`, `toxic` (an id with several labels takes the worst one).
 
-    The label rows kept are few by construction, so they are broadcast and no text is shuffled.
+    The label rows kept are few by construction, so they are broadcast. An id that stands on several rows gives one text, the
+    one of least hash, chosen before the shuffle; so a repeated id cannot break the bound.
     """
     kept = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -118,7 +119,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_col
         .select(F.col("doc_id").alias("label_id"), "toxic")
     )
     texts = docs.select(F.col(id_column).alias("label_id"), F.col(text_column).alias("text"))
-    return texts.join(F.broadcast(kept), "label_id").select("text", "toxic")
+    order = F.struct(F.col("text").isNull(), F.xxhash64("text"), F.col("text"))
+    return (
+        texts.join(F.broadcast(kept), "label_id")
+        .groupBy("label_id").agg(F.min_by("text", order).alias("text"), F.max("toxic").alias("toxic")).drop("label_id")
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> OrdinalModel:
