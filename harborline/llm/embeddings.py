@@ -4,7 +4,8 @@ Equal vectors are one node with a multiplicity. Nodes go to the few shards whose
 graph whose edges are pruned so that they point in different directions; the edge lists a node has in all its shards are
 united; then every node is searched for in its shards, greedily from the medoid, and everything within range is expanded
 until nothing new is in range. Pairs found are verified by cosine in double precision. An audit compares a stated set of
-queries with brute force, and the overlap is doubled until the audit meets its target.
+queries with brute force, by node, and the overlap is doubled until the audit meets its target; where it never does, all
+nodes are compared in blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ OVERLAP, MOST_OVERLAP = 4, 32
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 QUERIES_AT_ONCE = 256
 AUDIT_QUERIES, AUDIT_RECALL = 400, 0.97
+# Nodes with more links than this are audited apart, so that a crowd cannot hide lost pairs.
+FEW_LINKS = 8
 
 
 def usable(vector: Column) -> Column:
@@ -177,7 +180,7 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "near": [ids[near].tolist() for near in lists]})
 
 
-def _search(threshold: float):
+def _search(threshold: float, exact: bool = False):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id").reset_index(drop=True)
         x, ids = unit_rows(rows["vector"]), rows["id"].to_numpy()
@@ -190,7 +193,7 @@ def _search(threshold: float):
         graph = np.full((len(ids), max(1, max(map(len, lists)))), -1, dtype=np.int64)
         for k, near in enumerate(lists):
             graph[k, : len(near)] = near
-        a, b = np.nonzero(np.triu(range_search(x, graph, threshold), 1))
+        a, b = np.nonzero(np.triu(x @ x.T >= threshold if exact else range_search(x, graph, threshold), 1))
         if rows["i"].iloc[0] != rows["j"].iloc[0]:
             cross = own[a] != own[b]
             a, b = a[cross], b[cross]
@@ -229,8 +232,19 @@ def _search_once(nodes: DataFrame, center: np.ndarray, overlap: int, threshold:
         _search(threshold), "a long, b long, weight long"))
 
 
+def _compare_all(nodes: DataFrame, threshold: float) -> DataFrame:
+    """As `_search_once`, but exact: one shard of all nodes, every two of its blocks compared. Quadratic work, in bounded tasks."""
+    whole = nodes.withColumns({"shards": F.array(F.lit(0)), "near": F.array().cast("array<long>")})
+    return pinned(_units(whole).groupBy("shard", "i", "j").applyInPandas(
+        _search(threshold, exact=True), "a long, b long, weight long"))
+
+
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT_QUERIES nodes, taken by hash, that were found; brute force against all nodes."""
+    """Recall on AUDIT_QUERIES nodes taken by hash, by brute force against all nodes.
+
+    A node's recall is the share of its links that were found. It is averaged over the nodes with at most FEW_LINKS links
+    and over the others; the lesser mean counts. Nodes without a link say nothing.
+    """
     queries = nodes.orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(AUDIT_QUERIES).select("id", "vector").toPandas()
     q, ids = unit_rows(queries["vector"]), queries["id"].to_numpy()
 
@@ -245,8 +259,10 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
 
     real = nodes.select("id", "vector", "n").mapInPandas(count, "a long, weight long").groupBy("a").agg(F.sum("weight").alias("real"))
     got = found.groupBy("a").agg(F.sum("weight").alias("got"))
-    row = real.join(got, "a", "left").agg(F.sum("real"), F.sum(F.least("real", F.coalesce("got", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    recall = F.least(F.col("real"), F.coalesce("got", F.lit(0))) / F.col("real")
+    means = real.where("real > 0").join(got, "a", "left").agg(*[
+        F.avg(F.when((F.col("real") <= FEW_LINKS) == F.lit(few), recall)) for few in (True, False)]).first()
+    return min((m for m in means if m is not None), default=1.0)
 
 
 def near_duplicates(
@@ -272,7 +288,10 @@ def near_duplicates(
         center = centroids(unit_rows(sample), max(1, min(len(sample) // 8, -(-row["count"] // SHARD_ROWS))))
         overlap = OVERLAP
         links = _search_once(part, center, overlap, threshold)
-        while overlap < min(MOST_OVERLAP, len(center)) and _audit(part, links, threshold) < AUDIT_RECALL:
+        while _audit(part, links, threshold) < AUDIT_RECALL:
+            if overlap >= min(MOST_OVERLAP, len(center)):
+                links = _compare_all(part, threshold)
+                break
             overlap *= 2
             links = _search_once(part, center, overlap, threshold)
         found = links if found is None else found.unionByName(links)
