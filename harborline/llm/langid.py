@@ -171,19 +171,30 @@ class LanguageModel:
         self.languages, self.p, self.path = languages, p, path
 
 
+def row_shares(sizes: dict[str, int], bound: int) -> dict[str, int]:
+    """Rows each language may give so that all give `bound` at most: small languages all they have, large ones alike."""
+    shares = {}
+    for left, (lang, size) in zip(range(len(sizes), 0, -1), sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        shares[lang] = min(size, (bound - sum(shares.values())) // left)
+    return shares
+
+
 def train(texts: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> LanguageModel:
     """Piece probabilities of every language from `lang` and `text`, by expectation-maximisation over all words.
 
-    Words are counted over all the rows first, and each round runs over the distinct words only. What reaches the driver
+    At most TRAINING_ROWS rows are learned from, shared out by language, so that a rare language stays known however many
+    rows the others have (rows equal in id and text are taken or left together). Words are counted first, and each round runs over the distinct words only. What reaches the driver
     is one number per piece and language. Without rows there is no language.
     """
     spark = small_batches(texts.sparkSession)
     rows = texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", *[c for c in texts.columns if c == "id"])
-    total = rows.count()
-    if total > TRAINING_ROWS:
-        # Rows of least hash, a tenth below the bound; taken by a filter, so no task gathers them.
-        part = int(0.9 * TRAINING_ROWS / total * 1_000_000)
-        rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < part)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(sizes.values()) > TRAINING_ROWS:
+        # Rows of least hash, a tenth below each language's share; taken by a filter, so no task gathers them.
+        below = [[F.lit(lang), F.lit(min(2**63 - 1, int(0.9 * share / sizes[lang] * 2**64) - 2**63))]
+                 for lang, share in row_shares(sizes, TRAINING_ROWS).items() if share < sizes[lang]]
+        limit = F.create_map(*[part for pair in below for part in pair])
+        rows = rows.where(F.xxhash64(*rows.columns) <= F.coalesce(limit[F.col("lang")], F.lit(2**63 - 1)))
     words = pinned(rows.mapInArrow(_count_words, "lang string, word string, n long")
                    .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]

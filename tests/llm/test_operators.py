@@ -546,3 +546,39 @@ def test_simhash_edges(odd, none):
     assert len(got) == 8 and set(got[got.doc_id.isin([2, 3, 7])].component_id) == {2}
     assert got[got.doc_id.isin([2, 3, 7])].fp.eq(0).all()
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_training_rows_are_shared_by_language(spark, monkeypatch):
+    assert langid.row_shares({"a": 3, "b": 1000, "c": 50}, 103) == {"a": 3, "b": 50, "c": 50}
+    assert langid.row_shares({"a": 3}, 100) == {"a": 3} and langid.row_shares({}, 5) == {}
+    monkeypatch.setattr(langid, "TRAINING_ROWS", 60)
+    rows = [(i, f"the house and the garden number {i}", "en") for i in range(3000)]
+    rows += [(i, f"das Haus und der Garten Nummer {i}", "de") for i in range(3000, 3012)]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, lang string"), rounds=2)
+    assert model.languages == ["de", "en"]
+
+
+def test_labelled_rows_stay_bounded_under_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    got = [(r["text"], r["toxic"]) for r in toxicity.labelled_sample(docs, labels, "doc_id", "text").collect()]
+    assert len(got) == 3 and ("other", 0) in got and (None, 1) in got
+    assert [t for x, t in got if x and x.startswith("text")] == [1]
+
+
+def test_audit_sees_lost_pairs_beside_a_crowd_and_blocks_find_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    crowd = np.eye(24)[0] + rng.normal(0, 0.02, (150, 24))
+    pairs = np.repeat(rng.normal(0, 1, (20, 24)), 2, axis=0) + rng.normal(0, 0.01, (40, 24))
+    x = np.concatenate([crowd, pairs])
+    nodes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, vector array<double>, n long")
+    u = embeddings.unit_rows(list(x))
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = spark.createDataFrame([(i, i, int(near[i].sum())) for i in range(150)], "a long, b long, weight long")
+    assert embeddings._audit(nodes, found, 0.9) == 0.0
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 40)
+    exact = embeddings._compare_all(nodes, 0.9)
+    assert embeddings._audit(nodes, exact, 0.9) == 1.0
+    got = {r["a"]: r["w"] for r in exact.groupBy("a").agg(F.sum("weight").alias("w")).collect()}
+    assert all(got.get(i, 0) == near[i].sum() for i in range(len(x)))
