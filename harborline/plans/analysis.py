@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import clusters as C
 from ..operators import demand as D
 from ..operators import forecast as P
 from ..operators import geography as G
@@ -22,8 +24,16 @@ from ..operators.products import prepare_products
 from ..operators.series import as_series
 from ..operators.unify import unified_lines
 from ..session import pinned
+from ..sources.schemas import DIMENSIONS, STAMPS
 
 MONEY = ("price", "shipping_charges")
+# What each input table must hold, and which of its columns are numbers and dates.
+CHECKS = {
+    "orders": (("order_id", "customer_id", "order_purchase_timestamp"), (), STAMPS),
+    "items": (("order_id", "product_id", "seller_id", "price"), ("price", "shipping_charges"), ()),
+    "products": (("product_id", "product_category_name"), DIMENSIONS, ()),
+    "customers": (("customer_id", "customer_state"), (), ()),
+}
 LINE_ORDER = ("order_purchase_timestamp", "order_id", "order_item_id", "seller_id", "price")
 
 
@@ -47,11 +57,25 @@ def prepare_lines(
     return pinned(O.impute_delivered(O.impute_delivery_days(lines)))
 
 
+def input_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The checks of the four input tables in one frame: table_name, column_name, check_name, bad_rows, ok; one scan a table.
+
+    Give it tables as they come, before values that do not parse have become NULL.
+    """
+    reports = [
+        Q.validate_frame(tables[name], *rules).select(F.lit(name).alias("table_name"), "*")
+        for name, rules in CHECKS.items() if name in tables
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
 def analyse(
-    tables: Mapping[str, DataFrame], top_n: int = 15, periods: int = 6, repair: bool = True, **grid: int
+    tables: Mapping[str, DataFrame], top_n: int = 15, periods: int = 6, repair: bool = True,
+    clusters: int | None = 3, **grid: int
 ) -> dict[str, DataFrame]:
     """All result tables from the four input tables. Order stamps a source lacks are derived; an unfinished last month
-    stays in the demand but is not modelled."""
+    stays in the demand but is not modelled. Sellers are told apart by tiers and by k-means (`clusters=None` searches k).
+    """
     orders = O.synthesize_stamps(tables["orders"])
     lines = prepare_lines(orders, tables["items"], tables["products"], tables["customers"], repair)
     demand = pinned(D.monthly_demand(lines))
@@ -67,6 +91,8 @@ def analyse(
     report = pinned(report)
     sellers = pinned(S.seller_metrics(lines))
     tiers = S.tier_sellers(sellers)
+    features = S.seller_features(sellers)
+    clusters, centres, _ = C.cluster_sellers(features, S.feature_names(features), clusters)
     states = pinned(G.state_metrics(lines))
     next_month = first.select(F.col("series").alias("category"), F.col("forecast").alias("next_month_forecast"))
     recommendations = pinned(H.recommend(H.category_inputs(lines, demand, next_month)))
@@ -76,7 +102,10 @@ def analyse(
         "top_categories": top,
         "forecasts": P.pack_forecasts(forecast, first.select("series", "growth_rate")),
         "forecast_report": report,
+        "input_checks": input_checks(tables),
         "seller_clusters": tiers,
+        "seller_kmeans": clusters.select("seller_id", "cluster"),
+        "cluster_centers": centres,
         "supplier_performance": S.performance_report(tiers),
         "supplier_recommendations": S.improvement_recommendations(tiers),
         "state_metrics": states,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harborline.operators import demand as D
 from harborline.operators.demand import finished_until
 from harborline.operators.orders import missing_stamps, synthesize_stamps
-from harborline.plans.analysis import analyse, dashboard
+from harborline.plans.analysis import analyse, dashboard, input_checks
 from harborline.session import scratch_path
 from harborline.sources import runstore as U
 from harborline.sources import schemas
@@ -127,6 +127,9 @@ def test_whole_analysis_and_dashboard(spark, sf_dir):
     assert results["forecasts"].select(F.size("forecast_values")).distinct().collect()[0][0] == 3
     assert results["reorder_recommendations"].where("reorder_point IS NULL OR days_between_orders > 90").count() == 0
     assert results["monthly_demand"].agg(F.sum("count")).first()[0] == t.items.count()
+    assert results["cluster_centers"].count() == 3
+    assert results["seller_kmeans"].where("cluster IS NOT NULL").count() == results["seller_clusters"].count()
+    assert {r["table_name"] for r in results["input_checks"].where("ok").collect()} == set(tables)
     folder = scratch_path(spark, "test-results")
     kept = {n: f for n, f in results.items() if n != "summary_report"}
     stored = {n: spark.read.parquet(p) for n, p in write_results(kept, folder).items()}
@@ -137,6 +140,13 @@ def test_whole_analysis_and_dashboard(spark, sf_dir):
         assert frame.count() > 0
 
 
+def test_input_checks_find_bad_values(spark):
+    items = spark.createDataFrame([("1", "p", "9.5", "x"), ("2", "q", "cheap", None)], "order_id string, product_id string, price string, shipping_charges string")
+    found = {(r["table_name"], r["column_name"], r["check_name"]): r["bad_rows"] for r in input_checks({"items": items}).collect()}
+    assert found["items", "price", "numeric"] == 1 and found["items", "shipping_charges", "numeric"] == 1
+    assert found["items", "seller_id", "required"] == 1 and found["items", "order_id", "required"] == 0
+
+
 def test_growth_of_empty_demand(spark):
     empty = spark.createDataFrame([], "product_category_name string, date date, count int")
     assert D.category_growth(empty).count() == 0 and D.month_changes(empty).count() == 0
