@@ -7,12 +7,14 @@ from harborline.operators import forecast as P
 from harborline.operators import inventory as H
 from harborline.operators import metrics as M
 from harborline.operators import quality as Q
+from harborline.operators import sellers as S
 from harborline.operators import series as Z
+from harborline.session import pinned
 
 from .base import query
 from .demand import finished_lines
 from .intake import R, lines, order_lines, product_lines
-from .sellers import rounded, sellers, tiers
+from .sellers import rounded, sellers
 from .series import product_series, series, text
 from .views import add_view
 
@@ -577,6 +579,9 @@ def _(t):
     UNION ALL SELECT 'Supply Chain Performance Metrics', 3, '- On-Time Delivery Rate: ' || ot || '%' FROM u
     UNION ALL SELECT 'Supply Chain Performance Metrics', 4, '- Perfect Order Rate: ' || po || '%' FROM u""")
 def _(t):
-    all_lines = lines(t)
-    return M.summary_report(all_lines, D.monthly_demand(all_lines), tiers(t), recommended(t),
+    # The joined lines are written down once; months and sellers are read off that.
+    all_lines = pinned(lines(t).select(
+        "order_id", "order_item_id", "product_id", "customer_id", "seller_id", "product_category_name", "order_year", "order_month",
+        "price", "shipping_charges", "processing_time", "delivery_days", "on_time_delivery"))
+    return M.summary_report(all_lines, D.monthly_demand(all_lines), S.tier_sellers(S.seller_metrics(all_lines)), recommended(t),
                             M.line_performance(all_lines))

@@ -7,6 +7,7 @@ from harborline.operators import items as I
 from harborline.operators import orders as O
 from harborline.operators import quality as Q
 from harborline.operators.unify import dataset_summary, unified_lines
+from harborline.session import pinned
 from harborline.sources import schemas
 from harborline.sources.tables import conform, read_table
 
@@ -139,7 +140,8 @@ def _(t):
 def _(t):
     from harborline.operators.demand import monthly_demand
 
-    all_lines = lines(t)
+    # Three of the counts read the joined lines: written down once.
+    all_lines = pinned(lines(t).select("product_category_name", "order_year", "order_month", "customer_state"))
     return Q.bundle_status(
         {"lines": all_lines, "demand": monthly_demand(all_lines), "forecast_report": None,
          "state_metrics": all_lines.where(F.col("customer_state").isNull())},
