@@ -50,39 +50,35 @@ def fill_months(df: DataFrame, method: str = "linear") -> DataFrame:
 
     linear goes straight between neighbours and carries the last value on, ffill and bfill repeat a neighbour, mean
     takes the series' mean, zero is zero. Each row is stretched to the month before its successor, so no calendar is
-    built and nothing is joined.
+    built and nothing is joined. All windows read one sort of the given rows; nothing is sorted after the stretching.
     """
-    nxt = F.lead("month").over(along())
-    reach = F.coalesce(F.add_months(nxt, -1), F.col("month"))
-    stretched = df.withColumn("__last", reach).select(
-        "series", "y", F.col("month").alias("__own"),
-        F.explode(F.sequence("month", "__last", F.expr("interval 1 month"))).alias("month"),
-    )
-    gaps = stretched.select("series", "month", F.when(F.col("month") == F.col("__own"), F.col("y")).alias("y"))
-    if method == "zero":
-        return gaps.withColumn("y", F.coalesce("y", F.lit(0.0)))
-    if method == "mean":
-        return gaps.withColumn("y", F.coalesce("y", F.avg("y").over(whole())))
-    before = F.last("y", ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0))
-    # Looking ahead is looking back along the reversed months: the frame grows and is never summed up again.
-    reverse = Window.partitionBy("series").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.last("y", ignorenulls=True).over(reverse)
-    if method == "ffill":
-        return gaps.withColumn("y", before)
-    if method == "bfill":
-        return gaps.withColumn("y", after)
-    if method != "linear":
+    if method not in ("linear", "ffill", "bfill", "mean", "zero"):
         raise ValueError(f"unknown method {method!r}")
-    known = F.when(F.col("y").isNotNull(), F.col("__pos"))
-    placed = gaps.withColumn("__pos", F.row_number().over(along())).withColumns({
-        "__a": before, "__b": after,
-        "__pa": F.last(known, ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0)),
-        "__pb": F.last(known, ignorenulls=True).over(reverse),
-    })
-    between = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__pos") - F.col("__pa")) / (
-        F.col("__pb") - F.col("__pa"))
-    value = F.when(F.col("y").isNotNull(), F.col("y")).when(F.col("__pb").isNull(), F.col("__a")).otherwise(between)
-    return placed.select("series", "month", value.alias("y"))
+    kept = df.select("series", "month", "y").where(F.col("month").isNotNull())
+    if method in ("linear", "ffill", "bfill"):
+        # Of the rows without a value only those at the ends of a series say anything: how far it reaches.
+        ends = {"__first": F.row_number().over(along()) == 1, "__last": F.lead("month").over(along()).isNull()}
+        kept = kept.withColumns(ends).where(F.col("y").isNotNull() | F.col("__first") | F.col("__last")).drop(*ends)
+    elif method == "mean":
+        kept = kept.withColumn("__mean", F.avg("y").over(along().rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)))
+    reach = F.coalesce(F.add_months(F.lead("month").over(along()), -1), F.col("month"))
+    placed = kept.withColumns({
+        "__to": reach, "__next": F.lead("y").over(along()), "__past": F.coalesce("y", F.lag("y").over(along()))})
+    months = placed.withColumn("__months", F.sequence("month", "__to", F.expr("interval 1 month"))).drop("month", "__to")
+    # __i counts the months from the row's own.
+    stretched = months.select(
+        "*", F.size("__months").alias("__n"), F.posexplode("__months").alias("__i", "month")).drop("__months")
+    own = F.when(F.col("__i") == 0, F.col("y"))
+    value = {
+        "zero": lambda: F.coalesce(own, F.lit(0.0)),
+        "mean": lambda: F.coalesce(own, "__mean"),
+        "ffill": lambda: F.col("__past"),
+        "bfill": lambda: F.coalesce(own, "__next"),
+        "linear": lambda: F.when(own.isNotNull(), own).when(F.col("__next").isNull(), F.col("__past")).otherwise(
+            F.col("y") + (F.col("__next") - F.col("y")) * F.col("__i") / F.col("__n")),
+    }[method]()
+    return stretched.select("series", "month", value.alias("y"))
 
 
 def repair_outliers(df: DataFrame) -> DataFrame:

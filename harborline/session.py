@@ -17,12 +17,17 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Shuffle partitions are merged by their compressed size, and narrow rows take some ten to forty times that in a task's sorts
+# and hash tables. Spark's own 64 MB is replaced, a size that the session names is kept.
+MERGED_SIZE = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else created."""
     for key, value in SCALE_CONF.items():
         spark.conf.set(key, value)
+    if spark.conf.get(MERGED_SIZE[0], None) is None:
+        spark.conf.set(*MERGED_SIZE)
     return spark
 
 

@@ -139,6 +139,21 @@ def test_month_gaps(spark):
     assert column(Z.fill_months(gaps), "month", "month") == months(4)
 
 
+@pytest.mark.parametrize("method, expected", [
+    ("linear", [None, None, 4.0, 5.0, 6.0, 8.0, 8.0, 8.0]), ("ffill", [None, None, 4.0, 4.0, 6.0, 8.0, 8.0, 8.0]),
+    ("bfill", [4.0, 4.0, 4.0, 6.0, 6.0, 8.0, None, None]), ("mean", [6.0, 6.0, 4.0, 6.0, 6.0, 8.0, 6.0, 6.0]),
+    ("zero", [0.0, 0.0, 4.0, 0.0, 6.0, 8.0, 0.0, 0.0]),
+])
+def test_month_gaps_with_unknown_values(spark, method, expected):
+    """Rows without a value are gaps too, also at both ends of a series; rows without a month count for nothing."""
+    y = [None, None, 4.0, None, 6.0, 8.0, None, None]
+    rows = [("a", m, v) for i, (m, v) in enumerate(zip(months(8), y)) if i not in (1, 6)] + [("a", None, 5.0), ("b", months(1)[0], None)]
+    out = Z.fill_months(spark.createDataFrame(rows, "series string, month date, y double"), method)
+    assert column(out.where("series = 'a'"), "month", "month") == months(8)
+    assert column(out.where("series = 'a'"), "y", "month") == expected
+    assert column(out.where("series = 'b'"), "y", "month") == [0.0 if method == "zero" else None]
+
+
 def test_series_outlier(spark):
     out = Z.repair_outliers(series_frame(spark, ("a", [10, 11, 9, 10, 100, 10, 11, 9, 10, 10, 11, 10])))
     assert column(out, "y", "month")[4] == 10.0

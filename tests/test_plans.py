@@ -1,14 +1,17 @@
 """Properties of the physical plans, the whole analysis, and the sources."""
 
+import re
+
 import catalog
 import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators import demand as D
+from harborline.operators import series as Z
 from harborline.operators.demand import finished_until
 from harborline.operators.orders import missing_stamps, synthesize_stamps
 from harborline.plans.analysis import analyse, dashboard, input_checks
-from harborline.session import scratch_path
+from harborline.session import configure, scratch_path
 from harborline.sources import runstore as U
 from harborline.sources import schemas
 from harborline.sources.schemas import CSV_NAMES
@@ -174,3 +177,27 @@ def test_unfinished_last_month(spark):
     assert until("2001-08-28 23:00:00") == "2001-08-01"
     assert until("2001-08-29 00:00:00") == "2001-09-01"
     assert until("2001-12-31 00:00:00", None) == "2002-01-01"
+
+
+@pytest.mark.parametrize("method", ["linear", "ffill", "bfill", "mean", "zero"])
+def test_months_are_filled_after_one_sort(spark, method):
+    """The stretched months are three times the rows: sorting them again held three such sorts in one task."""
+    rows = spark.createDataFrame([("a", "2020-01-01", 1.0)], "series string, month string, y double")
+    text = plan(Z.fill_months(rows.withColumn("month", F.col("month").cast("date")), method), "simple")
+    assert len(re.findall(r"\bSort \[", text)) == 1 and text.index("Generate") < text.index("Sort [")
+
+
+def test_merged_partitions_stay_small(spark):
+    """Unless the session says otherwise: 64 MB of compressed narrow rows are more than a GB in a task."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    session = spark.newSession()
+    session.conf.unset(key)
+    assert configure(session).conf.get(key) == "8m"
+    session.conf.set(key, "32m")
+    assert configure(session).conf.get(key) == "32m"
+
+
+def test_short_series_read_one_written_copy(spark, sf_dir):
+    """Profile and line fit each sorted all joined lines in the tasks that fit the lines."""
+    text = plan(catalog.QUERIES["f17_short_series"](spark, sf_dir))
+    assert "l_orderkey" not in text and "o_orderkey" not in text
