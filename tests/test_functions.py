@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harborline.functions.neighbours import nearest_rows
 from harborline.functions.quantiles import counted_median, exact_medians, exact_quantiles
 from harborline.functions.ranking import average_ranks, with_row_number, with_sort_bucket
+from harborline.operators import anomalies
 from harborline.operators.anomalies import repair_anomalies, rolling_statistics
 
 
@@ -162,6 +163,29 @@ def test_anomaly_repair_across_chunks(spark, exclude, chunk_rows):
         assert np.allclose(part.sort_values("i")["v"], want), key
 
 
+def test_only_keys_longer_than_a_chunk_are_numbered(spark, monkeypatch):
+    """Numbering writes and deals out all rows it gets once more; short keys are whole in one task anyway."""
+    seen, numbered = [], anomalies.with_row_number
+
+    def spy(df, *rest):
+        seen.append({r["key"] for r in df.select("key").distinct().collect()})
+        return numbered(df, *rest)
+
+    monkeypatch.setattr(anomalies, "with_row_number", spy)
+    rng = np.random.default_rng(5)
+    rows = [(key, i, float(v)) for key, size in (("hot", 200), (None, 90), ("b", 40), ("c", 1))
+            for i, v in enumerate(np.where(rng.random(size) < 0.1, 500.0, rng.normal(10, 1, size).round(2)))]
+    df = spark.createDataFrame(rows, "key string, i int, v double")
+
+    def result(run, chunk_rows):
+        return sorted(map(str, run(df, "v", ["key"], ["i"], chunk_rows=chunk_rows, buckets=4).collect()))
+
+    whole = result(repair_anomalies, 10_000)
+    assert seen == [] and result(repair_anomalies, 50) == whole and seen == [{"hot", None}]
+    rolling_statistics(df, "v", ["key"], ["i"], chunk_rows=100, buckets=4).collect()
+    assert seen[1:] == [{"hot"}]
+
+
 def test_rolling_statistics_across_chunks(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"key": "k", "i": np.arange(200), "v": rng.normal(size=200)})
