@@ -9,32 +9,29 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pinned_counted
 from .ranking import with_running_total
 
 Asked = Mapping[str, Mapping[str, float]]
+# Rows of a key that one task sorts.
+SORTED_ROWS = 65_536
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per key, column (by its number from 0) and value as (keys, metric, value, n); NULL, NaN and infinite values
-    are left out."""
+def _known_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     def known(c: str) -> str:
         return f"CASE WHEN abs(CAST(`{c}` AS DOUBLE)) < double('Infinity') THEN CAST(`{c}` AS DOUBLE) END"
 
     pairs = ", ".join(f"named_struct('metric', {i}, 'value', {known(c)})" for i, c in enumerate(columns))
-    return (
-        df.select(*keys, F.expr(f"inline(array({pairs}))"))
-        .where("value IS NOT NULL")
-        .groupBy(*keys, "metric", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.select(*keys, F.expr(f"inline(array({pairs}))")).where("value IS NOT NULL")
 
 
-def recounted(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Value counts under coarser keys."""
-    return counts.groupBy(*keys, "metric", "value").agg(F.sum("n").alias("n"))
+def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows per key, column (by its number from 0) and value as (keys, metric, value, n); NULL, NaN and infinite values
+    are left out."""
+    return _known_values(df, columns, keys).groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Level(NamedTuple):
@@ -109,6 +106,31 @@ def exact_medians(
     return exact_quantiles(df, {c: {out: 0.5} for c, out in columns.items()}, keys, buckets, rows)
 
 
+def medians_of_sized_keys(
+    df: DataFrame, columns: Mapping[str, str], key: str, sizes: DataFrame, buckets: int | None = None, most: int = SORTED_ROWS,
+) -> DataFrame:
+    """`exact_medians` of the keys that are not NULL, with `sizes` (key and its rows as `n`) known.
+
+    The values of a key of up to `most` rows are dealt out and sorted once, in one task; those of longer keys range by range.
+    """
+    long, found = pinned_counted(sizes.where(F.col("n") > most).where(F.col(key).isNotNull()))
+    # At most one key for every `most` rows.
+    short = df.where(F.col(key).isNotNull())
+    if found:
+        short = short.join(F.broadcast(long.select(key)), key, "left_anti")
+    w = Window.partitionBy("k0_0", "metric").orderBy("value")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = _known_values(short, list(columns), [key]).withColumnRenamed(key, "k0_0").withColumns(
+        {"upto": F.row_number().over(w), "total": F.count(F.lit(1)).over(every)}).withColumn("first", F.col("upto") - 1)
+    asked = {c: {out: 0.5} for c, out in columns.items()}
+    medians = _picked(ranked, Level(ranked, asked, [key]), 0)
+    if found:
+        rows = long.agg(F.sum("n")).first()[0]
+        medians = medians.unionByName(
+            exact_medians(df.join(F.broadcast(long.select(key)), key, "left_semi"), columns, [key], buckets, rows))
+    return medians
+
+
 def counted_median(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Median of a column with few possible values (whole days): values are counted first, so the state of the
     final aggregate holds one entry per possible value."""

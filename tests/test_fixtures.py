@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from harborline.functions import quantiles
 from harborline.functions.dates import parse_dates
 from harborline.operators import arima as X
 from harborline.operators import demand as D
@@ -101,6 +102,33 @@ def test_product_median_wins(spark, buckets):
     assert (row["price"], row["shipping_charges"]) == (50.0, 10.0)
 
 
+def test_ladder_sorts_only_what_is_asked(spark, monkeypatch):
+    """All amounts were counted and sorted by ranges three times over, by product, category and as a whole."""
+    summed = []
+    ranges = quantiles.with_running_total
+    monkeypatch.setattr(quantiles, "with_running_total", lambda df, keys, *rest: summed.append(keys) or ranges(df, keys, *rest))
+    lines = [(i, "p", float(i)) for i in range(1, 9)] + [(9, "p", None), (10, "q", 3.0), (11, "q", 0.0)]
+    products = spark.createDataFrame([("p", "c"), ("q", "c"), ("r", "c"), ("s", None), ("q", "d")],
+                                     "product_id string, product_category_name string")
+
+    def prices(extra=(), **how):
+        items = spark.createDataFrame(lines + list(extra), "order_id int, product_id string, price double")
+        out = I.impute_item_values(items, products, ["price"], **how)
+        return sorted((r["order_id"], r["price"]) for r in out.where("order_id > 8").collect())
+
+    served = [(9, 4.5), (10, 3.0), (10, 3.0), (11, 3.0), (11, 3.0)]
+    assert prices() == served and summed == []
+    assert prices(sorted_rows=4) == served and len(summed) == 1
+    # r has no known amount: its category's are p's and q's. Lines of s, of an unknown and of no product get the overall one.
+    coarser = [(12, "r", None), (13, "s", 0.0), (14, "x", None), (15, None, None), (16, None, 100.0)]
+    expected = served + [(12, 4.0), (13, 4.5), (14, 4.5), (15, 4.5), (16, 100.0)]
+    assert prices(coarser) == prices(coarser, sorted_rows=4, buckets=3) == expected
+    missing = I.impute_missing_values(
+        spark.createDataFrame([(1, "p", 2.0), (2, "p", None), (3, "q", None), (4, None, None), (5, "p", float("nan"))],
+                              "order_id int, product_id string, price double"), ["price"])
+    assert column(missing, "price", "order_id")[:4] == [2.0, 2.0, 2.0, 2.0]
+
+
 def test_anomaly_in_the_middle(spark):
     values = [10.0] * 5 + [1000.0] + [10.0] * 5
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "key string, i int, v double")
