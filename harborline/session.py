@@ -17,8 +17,8 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
-# Shuffle partitions are merged by their compressed size, and narrow rows take some ten to forty times that in a task's sorts
-# and hash tables. Spark's own 64 MB is replaced, a size that the session names is kept.
+# Shuffle partitions are merged by their compressed size, and narrow rows take 20 to 70 times that in a task's sorts and hash
+# tables. Spark's own 64 MB is replaced, a size that the session names is kept.
 MERGED_SIZE = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
 
 

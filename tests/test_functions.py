@@ -163,7 +163,8 @@ def test_anomaly_repair_across_chunks(spark, exclude, chunk_rows):
         assert np.allclose(part.sort_values("i")["v"], want), key
 
 
-def test_only_keys_longer_than_a_chunk_are_numbered(spark, monkeypatch):
+@pytest.mark.parametrize("exclude", [True, False])
+def test_only_keys_longer_than_a_chunk_are_numbered(spark, monkeypatch, exclude):
     """Numbering writes and deals out all rows it gets once more; short keys are whole in one task anyway."""
     seen, numbered = [], anomalies.with_row_number
 
@@ -177,11 +178,12 @@ def test_only_keys_longer_than_a_chunk_are_numbered(spark, monkeypatch):
             for i, v in enumerate(np.where(rng.random(size) < 0.1, 500.0, rng.normal(10, 1, size).round(2)))]
     df = spark.createDataFrame(rows, "key string, i int, v double")
 
-    def result(run, chunk_rows):
-        return sorted(map(str, run(df, "v", ["key"], ["i"], chunk_rows=chunk_rows, buckets=4).collect()))
+    def result(chunk_rows):
+        out = repair_anomalies(df, "v", ["key"], ["i"], exclude_center=exclude, chunk_rows=chunk_rows, buckets=4)
+        return sorted(map(str, out.collect()))
 
-    whole = result(repair_anomalies, 10_000)
-    assert seen == [] and result(repair_anomalies, 50) == whole and seen == [{"hot", None}]
+    whole = result(10_000)
+    assert seen == [] and result(50) == whole and seen == [{"hot", None}]
     rolling_statistics(df, "v", ["key"], ["i"], chunk_rows=100, buckets=4).collect()
     assert seen[1:] == [{"hot"}]
 
